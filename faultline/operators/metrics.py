@@ -50,7 +50,9 @@ def threshold_curve(pred: DataFrame) -> DataFrame:
         [F.col("y_pred").desc()],
         {"tp": running_sum("pos"), "fp": running_sum("neg")},
     )
-    return running.join(class_totals(pred), "model").select(
+    # the last running values are the class totals: the predictions are not read again
+    totals = running.groupBy("model").agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
+    return running.join(totals, "model").select(
         "model",
         F.col("y_pred").alias("threshold"),
         "tp",
@@ -191,8 +193,8 @@ def gain_curve(pred: DataFrame, size: str) -> DataFrame:
         [F.col("y_pred").desc(), F.col(size).asc(), F.col("id").asc()],
         {"rank": row_number(), "_seen": running_sum(size), "_found": running_sum(pos_size)},
     )
-    totals = pred.groupBy("model").agg(
-        F.sum(size).alias("_size"), F.sum(pos_size).alias("_pos_size")
+    totals = running.groupBy("model").agg(
+        F.max("_seen").alias("_size"), F.max("_found").alias("_pos_size")
     )
     return running.join(totals, "model").select(
         *pred.columns,
