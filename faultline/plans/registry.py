@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _names(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def oracle_text(sql: str) -> str:
 
 
 def _plain(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
 
 
 class Inputs:
