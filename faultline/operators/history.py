@@ -1,8 +1,229 @@
-"""History."""
+"""Process metrics of a change, from the history before and with it.
+
+Input is one row per (commit_id, path) with author, commit_date and line counts. "So far" includes
+the current commit. Order is (commit_date, commit_id). All running values come from ``ordered_scan``,
+so a bot author or a changelog file that owns a large share of the rows is spread over many tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from faultline.functions import text as x
+from faultline.operators.scan import ordered_scan, previous, row_number, running_sum
+
+WHEN = ["commit_date", "commit_id"]
+
+
+def change_size(changes: DataFrame) -> DataFrame:
+    """Lines added, deleted and before the change, per commit."""
+    return changes.groupBy("commit_id").agg(
+        F.sum("lines_added").alias("la"),
+        F.sum("lines_deleted").alias("ld"),
+        F.sum("lines_before").alias("lt"),
+    )
+
+
+def _entropy() -> Column:
+    """Shannon entropy (log2) of the changed lines over files: log2(T) - sum(x log2 x) / T."""
+    n = F.col("lines_added") + F.col("lines_deleted")
+    total = F.sum(n)
+    spread = F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0))
+    return F.when(total > 0, F.log2(total) - spread / total).otherwise(0.0)
+
+
+def entropy(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("commit_id").agg(_entropy().alias("entropy"))
+
+
+def path_counts(changes: DataFrame) -> DataFrame:
+    """Distinct subsystems, directories and file names per commit."""
+    p = F.col("path")
+    return changes.groupBy("commit_id").agg(
+        F.count_distinct(x.subsystem(p)).alias("ns"),
+        F.count_distinct(x.directory(p)).alias("nd"),
+        F.count_distinct(x.file_name(p)).alias("nf"),
+    )
+
+
+def first_touches(changes: DataFrame) -> DataFrame:
+    """When each author first touched each file: ``(path, author, first)``; a plain minimum, so it
+    is combined before the shuffle."""
+    return changes.groupBy("path", "author").agg(F.min(F.struct(*WHEN)).alias("first"))
+
+
+def file_history(changes: DataFrame) -> DataFrame:
+    """Per (commit, path): how often the file was changed so far, when before, by how many authors."""
+    new_author = first_touches(changes).select(
+        "path", F.col("first.commit_id").alias("commit_id"), F.lit(1).alias("_new")
+    )
+    flagged = changes.join(new_author, ["path", "commit_id"], "left")
+    return ordered_scan(
+        flagged,
+        ["path"],
+        WHEN,
+        {
+            "file_changes": row_number(),
+            "prev_date": previous("commit_date"),
+            "file_authors": running_sum(F.coalesce(F.col("_new"), F.lit(0))),
+        },
+    ).drop("_new")
+
+
+def days_between(later: Column, earlier: Column) -> Column:
+    return F.date_diff(later, earlier)
+
+
+def changes_and_age(history: DataFrame) -> DataFrame:
+    """``nuc``: changes to the touched files so far; ``age``: mean days since they were last touched
+    (0 for a new file)."""
+    gap = F.greatest(days_between(F.col("commit_date"), F.col("prev_date")), F.lit(0))
+    return history.groupBy("commit_id").agg(
+        F.sum("file_changes").alias("nuc"), F.avg(F.coalesce(gap, F.lit(0))).alias("age")
+    )
+
+
+def developers(changes: DataFrame, history: DataFrame) -> DataFrame:
+    """``ndev``: distinct authors so far over all files of the commit.
+
+    The file with the most authors is counted by its running count alone. Only the other files of a
+    commit list their authors, and those are added that the first file does not have yet. So the
+    author list of a hot file is not repeated for each of its commits.
+    """
+    ranked = history.select("commit_id", "commit_date", "path", "file_authors")
+    top = ranked.groupBy("commit_id").agg(
+        F.max_by(F.struct("path", "file_authors"), F.struct("file_authors", "path")).alias("top")
+    )
+    top = top.select("commit_id", F.col("top.path").alias("top_path"), F.col("top.file_authors").alias("n_top"))
+    first = first_touches(changes)
+    now = F.struct("commit_date", "commit_id")
+    others = ranked.join(top, "commit_id").filter(F.col("path") != F.col("top_path"))
+    listed = (
+        others.join(first, "path")
+        .filter(F.col("first") <= now)
+        .select("commit_id", "commit_date", "top_path", "author")
+        .distinct()
+    )
+    in_top = first.select(F.col("path").alias("top_path"), "author", F.col("first").alias("top_first"))
+    extra = (
+        listed.join(in_top, ["top_path", "author"], "left")
+        .filter(F.col("top_first").isNull() | (F.col("top_first") > now))
+        .groupBy("commit_id")
+        .agg(F.count(F.lit(1)).alias("n_extra"))
+    )
+    return top.join(extra, "commit_id", "left").select(
+        "commit_id", (F.col("n_top") + F.coalesce("n_extra", F.lit(0))).alias("ndev")
+    )
+
+
+def author_touches(changes: DataFrame) -> DataFrame:
+    """File touches per commit; all files of a commit count together."""
+    return changes.groupBy("author", "commit_id", "commit_date").agg(F.count(F.lit(1)).alias("touches"))
+
+
+def experience(changes: DataFrame) -> DataFrame:
+    """``exp``: file touches of the author so far."""
+    return ordered_scan(author_touches(changes), ["author"], WHEN, {"exp": running_sum("touches")})
+
+
+def recent_experience(with_exp: DataFrame) -> DataFrame:
+    """``rexp``: touches of the author so far, each weighted 1 / (age in days + 1).
+
+    Touches are counted per author and calendar day first. An author's history is then one list with
+    at most one entry per day, however many commits a bot makes, and every day is weighed against
+    the days before it. Touches of the same day have age 0: their number is what ``exp`` grew by
+    since the day before.
+    """
+    day = F.to_date("commit_date")
+    per_day = with_exp.groupBy("author", day.alias("day")).agg(F.sum("touches").alias("n"))
+    lists = per_day.groupBy("author").agg(
+        F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), "n"))).alias("days")
+    )
+
+    def weigh(i):
+        now = F.col("days")[i]["d"]
+        before = F.slice(F.col("days"), 1, i)
+        return F.struct(
+            now.alias("d"),
+            F.aggregate(before, F.lit(0.0), lambda a, e: a + e["n"] / (now - e["d"] + 1)).alias("weighted"),
+            F.aggregate(before, F.lit(0).cast("bigint"), lambda a, e: a + e["n"]).alias("count"),
+        )
+
+    past = lists.select(
+        "author", F.inline(F.transform(F.sequence(F.lit(0), F.size("days") - 1), weigh))
+    ).select("author", F.col("d").alias("_d"), "weighted", "count")
+    return (
+        with_exp.withColumn("_d", F.unix_date(day))
+        .join(past, ["author", "_d"])
+        .select("commit_id", (F.col("weighted") + F.col("exp") - F.col("count")).alias("rexp"))
+    )
+
+
+def subsystem_experience(changes: DataFrame) -> DataFrame:
+    """``sexp``: distinct files the author has touched so far inside the touched subsystems."""
+    sub = x.subsystem(F.col("path"))
+    fresh = (
+        first_touches(changes)
+        .groupBy("author", sub.alias("sub"), F.col("first.commit_id").alias("commit_id"))
+        .agg(F.count(F.lit(1)).alias("new_files"))
+    )
+    touched = changes.select("author", sub.alias("sub"), *WHEN).distinct()
+    marked = touched.join(fresh, ["author", "sub", "commit_id"], "left").na.fill(0, ["new_files"])
+    run = ordered_scan(marked, ["author", "sub"], WHEN, {"_known": running_sum("new_files")})
+    return run.groupBy("commit_id").agg(F.sum("_known").alias("sexp"))
+
+
+def process_metrics(
+    changes: DataFrame, fixes: DataFrame, first_day: str | None = None, last_day: str | None = None
+) -> DataFrame:
+    """The 14 metrics per commit. History is taken from all rows; the day range is cut afterwards.
+
+    ``fixes`` has (commit_id, fix).
+    """
+    history = file_history(changes)
+    with_exp = experience(changes)
+    p = F.col("path")
+    own = changes.groupBy("commit_id", "author", "commit_date").agg(
+        F.count_distinct(x.subsystem(p)).alias("ns"),
+        F.count_distinct(x.directory(p)).alias("nd"),
+        F.count_distinct(x.file_name(p)).alias("nf"),
+        _entropy().alias("entropy"),
+        F.sum("lines_added").alias("la"),
+        F.sum("lines_deleted").alias("ld"),
+        F.sum("lines_before").alias("lt"),
+    )
+    if first_day is not None:
+        own = own.filter(F.to_date("commit_date") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        own = own.filter(F.to_date("commit_date") <= F.lit(last_day).cast("date"))
+    out = own.join(fixes, "commit_id", "left").withColumn("fix", F.coalesce("fix", F.lit(0)))
+    for part in (
+        developers(changes, history),
+        changes_and_age(history),
+        with_exp.select("commit_id", "exp"),
+        recent_experience(with_exp),
+        subsystem_experience(changes),
+    ):
+        out = out.join(part, "commit_id")
+    return out
+
+
+def history_features(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Strictly earlier changes, authors and own touches over the touched files, and the author's
+    share of all commits so far."""
+    history = file_history(changes)
+    own = ordered_scan(changes, ["path", "author"], WHEN, {"_own": row_number()}).groupBy("commit_id").agg(
+        F.sum(F.col("_own") - 1).alias("author_touches")
+    )
+    past = history.groupBy("commit_id").agg(F.sum(F.col("file_changes") - 1).alias("past_changes"))
+    by_author = ordered_scan(commits.select("author", *WHEN), ["author"], WHEN, {"_mine": row_number()})
+    share = ordered_scan(by_author, [], WHEN, {"_all": row_number()}).select(
+        "commit_id", (F.col("_mine") / F.col("_all")).alias("author_share")
+    )
+    out = developers(changes, history).join(own, "commit_id").join(past, "commit_id").join(share, "commit_id")
+    # the author of the commit is new to these files when none of them has an earlier own touch
+    newcomer = F.when(F.col("author_touches") == 0, 1).otherwise(0)
+    return out.withColumn("past_authors", F.col("ndev") - newcomer).drop("ndev")
 
 
 def first_files_and_lines(lines: DataFrame, max_files: int = 10, max_lines: int = 11) -> DataFrame:
@@ -16,3 +237,26 @@ def first_files_and_lines(lines: DataFrame, max_files: int = 10, max_lines: int
     by_side = Window.partitionBy("commit_id", "path", "side").orderBy("line_no")
     top = lines.withColumn("_l", F.row_number().over(by_side)).filter(F.col("_l") <= max_lines).drop("_l")
     return top.join(kept, ["commit_id", "path"], "left_semi")
+
+
+def commit_caps(
+    changes: DataFrame, parents: DataFrame, max_files: int = 200, max_deleted: int = 10_000, max_changed: int = 2_000
+) -> DataFrame:
+    """Commits within the size limits that are no merges (at most one parent)."""
+    sizes = changes.groupBy("commit_id").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.max("lines_deleted").alias("most_deleted"),
+        F.sum(F.col("lines_added") + F.col("lines_deleted")).alias("changed"),
+    )
+    fits = sizes.filter(
+        (F.col("files") < max_files) & (F.col("most_deleted") <= max_deleted) & (F.col("changed") <= max_changed)
+    )
+    merges = parents.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return fits.join(merges, "commit_id", "left_anti")
+
+
+def modified_only(files: DataFrame, max_files: int = 200) -> DataFrame:
+    """Modified files (type M) of commits that do not modify too many of them."""
+    modified = files.filter(F.col("change_type") == "M")
+    small = modified.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_files)
+    return modified.join(small.select("commit_id"), "commit_id", "left_semi")
