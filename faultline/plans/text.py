@@ -388,10 +388,10 @@ def q_bow_binary(t):
 @query(
     "q_word_rank",
     f"""SELECT word, round(avg(w), 6) AS value, count(*) AS n FROM (
-      SELECT unnest(toks) AS word, unnest(list_transform(range(len(toks)), lambda i: 1.0::DOUBLE / (1 + i % 10))) AS w
+      SELECT unnest(toks) AS word, unnest(list_transform(range(len(toks)), lambda i: sqrt(1 + i % 10))) AS w
       FROM (SELECT {_BLANKS} AS toks FROM {{v_messages}})) GROUP BY 1 HAVING count(*) >= 2""",
 )
 def q_word_rank(t):
     rows = t.v_messages.withColumn("tokens", x.blank_tokens(F.col("text")))
-    weights = F.transform("tokens", lambda _, i: F.lit(1.0) / (1 + i % 10))
+    weights = F.transform("tokens", lambda _, i: F.sqrt(1 + i % 10))
     return v.word_rank(rows, F.col("tokens"), weights).select("word", r6("value", "value"), "n")
