@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "evaluation datasets sampling text history diffs provenance lifetimes statistics vectors "
-    "modelling ingestion maintenance"
+    "modelling ingestion maintenance streams"
 ).split()
 
 

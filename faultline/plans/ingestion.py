@@ -89,14 +89,16 @@ def q_json_parse(t):
 
 @query(
     "q_arrays_zip",
-    """SELECT l_orderkey AS id, l_partkey AS msg, l_suppkey AS code FROM lineitem""",
+    """SELECT doc_id * 1000000 + i AS id, line AS msg, CAST(length(line) AS INT) AS code FROM {o_doc_lines}""",
 )
 def q_arrays_zip(t):
-    """Parallel lists, in the shape a checkpoint of 500-odd commits has, back to rows."""
-    blocks = t.lineitem.groupBy(F.pmod("l_orderkey", F.lit(1009)).alias("b"), F.pmod("l_partkey", F.lit(31)).alias("c")).agg(
-        F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey")).alias("r")
+    """Three parallel lists per document back to one row per place."""
+    lines = F.split("text", "\n")
+    lists = t.documents.select(
+        F.transform(lines, lambda _, i: F.col("doc_id") * 1_000_000 + i).alias("ids"),
+        lines.alias("msgs"),
+        F.transform(lines, lambda x: F.length(x)).alias("codes"),
     )
-    lists = blocks.select(F.col("r.l_orderkey").alias("ids"), F.col("r.l_partkey").alias("msgs"), F.col("r.l_suppkey").alias("codes"))
     return s.zipped_rows(lists, id="ids", msg="msgs", code="codes")
 
 
@@ -151,17 +153,16 @@ def q_invert_map(t):
 
 @query(
     "q_json_roundtrip",
-    """SELECT commit_id, CAST(count(*) AS INT) AS n_files, CAST(sum(lines_added) AS BIGINT) AS la FROM {v_file_changes} GROUP BY 1""",
+    """SELECT commit_id, count(*) AS n_files, CAST(sum(lines_added) AS BIGINT) AS la FROM {v_file_changes} GROUP BY 1""",
 )
 def q_json_roundtrip(t):
     path = shared_folder(t.spark, "features-json")
-    files = F.collect_list(F.struct("path", "lines_added"))  # the files of one commit
-    k.save(t.v_file_changes.groupBy("commit_id").agg(files.alias("files")), path, "json")
-    back = t.spark.read.schema("commit_id bigint, files array<struct<path string, lines_added bigint>>").json(path)
-    return back.select(
-        "commit_id", F.size("files").alias("n_files"),
-        F.aggregate("files.lines_added", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("la"),
+    raw = t.v_file_changes.groupBy("commit_id").agg(
+        F.struct(F.count(F.lit(1)).alias("n_files"), F.sum("lines_added").alias("la")).alias("features")
     )
+    k.save(raw, path, "json")
+    back = t.spark.read.schema("commit_id bigint, features struct<n_files bigint, la bigint>").json(path)
+    return back.select("commit_id", "features.*")
 
 
 # --- dates ---------------------------------------------------------------------------------------

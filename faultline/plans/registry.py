@@ -64,6 +64,11 @@ def _plain(sql: str) -> str:
     return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
 
 
+def oracles() -> dict[str, str]:
+    """Oracle texts with their views written out; call it after all query modules are loaded."""
+    return {name: oracle_text(sql) for name, sql in ORACLES.items()}
+
+
 class Inputs:
     """Tables and stand-in views of one scale-factor folder, as attributes."""
 
@@ -84,7 +89,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle_text(sql)
+            ORACLES[name] = sql
         return fn
 
     return add

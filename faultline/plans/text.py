@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as x
 from faultline.functions.columns import big, r6
 from faultline.operators import vocabulary as v
+from faultline.operators.history import first_files_and_lines
 from faultline.plans.registry import VIEWS, query
 
 
@@ -201,41 +202,32 @@ def q_multi_hot(t):
     )
 
 
-VIEWS["v_change_files"] = """
-SELECT commit_id, path, line_no, side, CASE WHEN line_no = 3 THEN '  ' ELSE code END AS code FROM {v_lines}"""
-
-
-def _sides(rows):
-    """Added and removed lines of every (commit, path), in line order; a file's own lines only."""
-    pick = lambda s: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("line_no", "code")))), lambda r: r["code"]
-    )
-    return rows.groupBy("commit_id", "path").agg(pick("add").alias("added"), pick("del").alias("removed"))
-
-
 @query(
     "q_clean_code",
-    """SELECT commit_id, path, coalesce(string_agg(code, '|' ORDER BY line_no) FILTER (side = 'add' AND trim(code) <> ''), '') AS added,
-    coalesce(string_agg(code, '|' ORDER BY line_no) FILTER (side = 'del' AND trim(code) <> ''), '') AS removed
-    FROM {v_change_files} GROUP BY 1, 2""",
+    """SELECT doc_id AS id, coalesce(string_agg(line, '|' ORDER BY i) FILTER (i % 2 = 0 AND trim(line) <> ''), '') AS added,
+    coalesce(string_agg(line, '|' ORDER BY i) FILTER (i % 2 = 1 AND trim(line) <> ''), '') AS removed FROM {o_doc_lines} GROUP BY 1""",
 )
 def q_clean_code(t):
-    f = _sides(t.v_change_files)
-    return f.select(
-        "commit_id", "path",
-        F.array_join(x.drop_blank(F.col("added")), "|").alias("added"),
-        F.array_join(x.drop_blank(F.col("removed")), "|").alias("removed"),
-    )
+    # a document plays one changed file: its lines are added and removed in turn
+    lines = F.split("text", "\n")
+    side = lambda r: x.drop_blank(F.filter(lines, lambda _, i: i % 2 == r))
+    return t.v_messages.select("id", F.array_join(side(0), "|").alias("added"), F.array_join(side(1), "|").alias("removed"))
 
 
 @query(
     "q_format_change",
     """SELECT commit_id, path, 'added_code: ' || coalesce(' ' || string_agg(code, ' ' ORDER BY line_no) FILTER (side = 'add'), '')
     || ' removed_code: ' || coalesce(' ' || string_agg(code, ' ' ORDER BY line_no) FILTER (side = 'del'), '') AS change
-    FROM {v_lines} GROUP BY 1, 2""",
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY commit_id ORDER BY path) AS file_no, row_number() OVER (PARTITION BY commit_id, path, side ORDER BY line_no) AS rn FROM {v_lines})
+    WHERE file_no <= 10 AND rn <= 11 GROUP BY 1, 2""",
 )
 def q_format_change(t):
-    f = _sides(t.v_lines)
+    """Ten files per commit and eleven lines per side at most, so every list is short."""
+    rows = first_files_and_lines(t.v_lines, max_files=10, max_lines=11)
+    pick = lambda s: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("line_no", "code")))), lambda r: r["code"]
+    )
+    f = rows.groupBy("commit_id", "path").agg(pick("add").alias("added"), pick("del").alias("removed"))
     return f.select("commit_id", "path", x.format_change(F.col("added"), F.col("removed")).alias("change"))
 
 
@@ -351,8 +343,6 @@ def q_histogram(t):
     WHERE file_no <= 2 AND rn <= 3""",
 )
 def q_top_k_per_group(t):
-    from faultline.operators.history import first_files_and_lines
-
     return first_files_and_lines(t.v_lines, max_files=2, max_lines=3)
 
 
