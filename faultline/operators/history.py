@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions import text as x
 from faultline.operators.scan import ordered_scan, previous, row_number, running_sum
+from faultline.session import cut_lineage
 
 WHEN = ["commit_date", "commit_id"]
 
@@ -106,7 +107,8 @@ def developers(changes: DataFrame, history: DataFrame) -> DataFrame:
     )
     in_top = first.select(F.col("path").alias("top_path"), "author", F.col("first").alias("top_first"))
     extra = (
-        listed.join(in_top, ["top_path", "author"], "left")
+        # one row per (file, author) on the built side, so its partitions are even
+        listed.join(in_top.hint("shuffle_hash"), ["top_path", "author"], "left")
         .filter(F.col("top_first").isNull() | (F.col("top_first") > now))
         .groupBy("commit_id")
         .agg(F.count(F.lit(1)).alias("n_extra"))
@@ -180,6 +182,7 @@ def process_metrics(
 
     ``fixes`` has (commit_id, fix).
     """
+    changes = cut_lineage(changes)  # read by every metric below
     history = file_history(changes)
     with_exp = experience(changes)
     p = F.col("path")
@@ -211,6 +214,7 @@ def process_metrics(
 def history_features(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Strictly earlier changes, authors and own touches over the touched files, and the author's
     share of all commits so far."""
+    changes = cut_lineage(changes)
     history = file_history(changes)
     own = ordered_scan(changes, ["path", "author"], WHEN, {"_own": row_number()}).groupBy("commit_id").agg(
         F.sum(F.col("_own") - 1).alias("author_touches")

@@ -48,7 +48,12 @@ def threshold_curve(pred: DataFrame) -> DataFrame:
         counts,
         ["model"],
         [F.col("y_pred").desc()],
-        {"tp": running_sum("pos"), "fp": running_sum("neg")},
+        {
+            "tp": running_sum("pos"),
+            "fp": running_sum("neg"),
+            "place": row_number(),
+            "next_step": following(F.struct(F.col("pos").alias("tp"), F.col("neg").alias("fp"))),
+        },
     )
     # the last running values are the class totals: the predictions are not read again
     totals = running.groupBy("model").agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
@@ -61,6 +66,8 @@ def threshold_curve(pred: DataFrame) -> DataFrame:
         F.col("neg").alias("d_fp"),
         "n_pos",
         "n_neg",
+        "place",
+        "next_step",
     )
 
 
@@ -74,21 +81,34 @@ def pr_curve(curve: DataFrame) -> DataFrame:
     )
 
 
-def pr_area(curve: DataFrame) -> DataFrame:
-    """Trapezoid area under the PR curve; the curve starts at recall 0, precision 1."""
+def _pr_area() -> Column:
     before_tp, before_fp = F.col("tp") - F.col("d_tp"), F.col("fp") - F.col("d_fp")
     before = ratio(before_tp, before_tp + before_fp, default=1.0)
     now = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    step = ratio(F.col("d_tp"), F.col("n_pos"))
-    return curve.groupBy("model").agg(F.sum(step * (now + before) / 2).alias("pr_auc"))
+    return F.sum(ratio(F.col("d_tp"), F.col("n_pos")) * (now + before) / 2)
 
 
-def roc_area(curve: DataFrame) -> DataFrame:
-    """Area under the ROC curve: ties count half, as in the rank form."""
+def _roc_area() -> Column:
     before = ratio(F.col("tp") - F.col("d_tp"), F.col("n_pos"))
     now = ratio(F.col("tp"), F.col("n_pos"))
-    step = ratio(F.col("d_fp"), F.col("n_neg"))
-    return curve.groupBy("model").agg(F.sum(step * (now + before) / 2).alias("roc_auc"))
+    return F.sum(ratio(F.col("d_fp"), F.col("n_neg")) * (now + before) / 2)
+
+
+def pr_area(curve: DataFrame) -> DataFrame:
+    """Trapezoid area under the PR curve; the curve starts at recall 0, precision 1."""
+    return curve.groupBy("model").agg(_pr_area().alias("pr_auc"))
+
+
+def roc_area(curve: DataFrame) -> DataFrame:
+    """Area under the ROC curve: ties count half, as in the rank form."""
+    return curve.groupBy("model").agg(_roc_area().alias("roc_auc"))
+
+
+def _corner() -> Column:
+    """The first and last point of a curve, and inner ones whose step differs from the next."""
+    step = F.col("next_step")
+    turns = (step["tp"] != F.col("d_tp")) | (step["fp"] != F.col("d_fp"))
+    return (F.col("place") == 1) | step.isNull() | turns
 
 
 def roc_curve(curve: DataFrame, drop_collinear: bool = True) -> DataFrame:
@@ -97,34 +117,14 @@ def roc_curve(curve: DataFrame, drop_collinear: bool = True) -> DataFrame:
     ``drop_collinear`` leaves out inner points whose step equals the following step, which is how
     common ROC tools thin the curve; areas do not change, an FPR read off the curve may.
     """
-    rates = (
-        ("tpr", ratio(F.col("tp"), F.col("n_pos"))),
-        ("fpr", ratio(F.col("fp"), F.col("n_neg"))),
-    )
-    out = curve
-    if drop_collinear:
-        step = F.struct(F.col("d_tp").alias("t"), F.col("d_fp").alias("f"))
-        stepped = ordered_scan(
-            curve,
-            ["model"],
-            [F.col("threshold").desc()],
-            {"_rn": row_number(), "_next": following(step)},
-        )
-        out = stepped.filter(
-            (F.col("_rn") == 1)
-            | F.col("_next").isNull()
-            | (F.col("_next.t") != F.col("d_tp"))
-            | (F.col("_next.f") != F.col("d_fp"))
-        ).drop("_rn", "_next")
-    for name, col in rates:
-        out = out.withColumn(name, col)
-    return out
+    out = curve.filter(_corner()) if drop_collinear else curve
+    return out.withColumn("tpr", ratio(F.col("tp"), F.col("n_pos"))).withColumn("fpr", ratio(F.col("fp"), F.col("n_neg")))
 
 
 def fpr_at_tpr(roc: DataFrame, k: float, name: str = "fpr_at_tpr") -> DataFrame:
     """False positive rate at the first curve point whose true positive rate is at least ``k``."""
     return roc.groupBy("model").agg(
-        F.min_by("fpr", F.when(F.col("tpr") >= k, F.col("fp") + F.col("tp"))).alias(name)
+        F.min_by("fpr", F.when(F.col("tpr") >= k, F.col("place"))).alias(name)
     )
 
 
@@ -180,23 +180,22 @@ def f_beta(precision: Column, recall: Column, beta: float, root_beta: bool = Fal
     return F.try_divide((1 + beta**2) * precision * recall, weight * precision + recall)
 
 
-def gain_curve(pred: DataFrame, size: str) -> DataFrame:
+def gain_curve(pred: DataFrame, size: str, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Cumulative gain: highest score first, the smaller change first among equals, then the id.
 
     x is the share of size examined, y the share of positive size found, both in percent; ``d_x``
     and ``d_y`` are the steps of the row.
     """
+    keys = list(keys)
     pos_size = F.col("y_true") * F.col(size)
     running = ordered_scan(
         pred,
-        ["model"],
+        keys,
         [F.col("y_pred").desc(), F.col(size).asc(), F.col("id").asc()],
         {"rank": row_number(), "_seen": running_sum(size), "_found": running_sum(pos_size)},
     )
-    totals = running.groupBy("model").agg(
-        F.max("_seen").alias("_size"), F.max("_found").alias("_pos_size")
-    )
-    return running.join(totals, "model").select(
+    totals = running.groupBy(*keys).agg(F.max("_seen").alias("_size"), F.max("_found").alias("_pos_size"))
+    return running.join(totals, keys).select(
         *pred.columns,
         "rank",
         (ratio(F.col("_seen"), F.col("_size")) * 100).alias("x"),
@@ -206,12 +205,10 @@ def gain_curve(pred: DataFrame, size: str) -> DataFrame:
     )
 
 
-def gain_area(curve: DataFrame, name: str) -> DataFrame:
+def gain_area(curve: DataFrame, name: str, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Trapezoid area under the gain curve from its first point, as a share of 100 percent."""
     area = F.col("d_x") * (2 * F.col("y") - F.col("d_y")) / 2 / 100
-    return curve.groupBy("model").agg(
-        F.sum(F.when(F.col("rank") > 1, area).otherwise(0.0)).alias(name)
-    )
+    return curve.groupBy(*keys).agg(F.sum(F.when(F.col("rank") > 1, area).otherwise(0.0)).alias(name))
 
 
 def trapezoid_area(points: DataFrame, keys: Sequence[str], x: str, y: str, order: Sequence, name: str) -> DataFrame:
@@ -223,12 +220,25 @@ def trapezoid_area(points: DataFrame, keys: Sequence[str], x: str, y: str, order
     return stepped.groupBy(*keys).agg(F.sum(F.coalesce(step, F.lit(0.0))).alias(name))
 
 
-def normalised_gain(pred: DataFrame, size: str, name: str) -> DataFrame:
-    """Gain area divided by the area of the ideal ordering (all positives first)."""
-    got = gain_area(gain_curve(pred, size), "_got")
-    ideal_rows = pred.withColumn("y_pred", F.col("y_true").cast("double"))
-    ideal = gain_area(gain_curve(ideal_rows, size), "_ideal")
-    return got.join(ideal, "model").select("model", F.try_divide("_got", "_ideal").alias(name))
+def normalised_gain(pred: DataFrame, sizes: dict[str, Column]) -> DataFrame:
+    """Gain areas divided by the area of the ideal ordering (all positives first), one column per
+    entry of ``sizes``; rows where a size is null are not part of that curve.
+
+    All curves of a model, real and ideal, are laid next to each other and ordered in one pass.
+    """
+    variants = F.array(
+        *[
+            F.struct(F.lit(name).alias("kind"), F.lit(ideal).alias("ideal"), size.cast("bigint").alias("size"),
+                     (F.col("y_true").cast("double") if ideal else F.col("y_pred").cast("double")).alias("y_pred"))
+            for name, size in sizes.items()
+            for ideal in (False, True)
+        ]
+    )
+    rows = pred.select("model", "id", "y_true", F.inline(variants)).filter(F.col("size").isNotNull())
+    keys = ["model", "kind", "ideal"]
+    areas = gain_area(gain_curve(rows, "size", keys), "area", keys)
+    pick = lambda name, ideal: F.max(F.when((F.col("kind") == name) & (F.col("ideal") == ideal), F.col("area")))
+    return areas.groupBy("model").agg(*[F.try_divide(pick(n, False), pick(n, True)).alias(n) for n in sizes])
 
 
 def metric_table(
@@ -238,39 +248,44 @@ def metric_table(
     inclusive: bool = False,
     max_lines: int = 2000,
 ) -> DataFrame:
-    """One row per model with every headline metric.
+    """One row per model with every headline metric, from one pass over its curve and one over its
+    gain rows.
 
     Labels are cut at the best-F1 threshold; ``inclusive=False`` calls only scores above it positive.
     """
-    curve = threshold_curve(pred)
-    best = best_f1(pr_curve(curve))
-    # the point counts follow from the curve: no second pass over the predictions
-    at = curve.join(best, "model")
-    keep = F.col("threshold") >= F.col("best_threshold")
-    if not inclusive:
-        keep = F.col("threshold") > F.col("best_threshold")
-    point = with_point_scores(
-        at.groupBy("model").agg(
-            F.sum(F.when(keep, F.col("d_tp")).otherwise(0)).alias("tp"),
-            F.sum(F.when(keep, F.col("d_fp")).otherwise(0)).alias("fp"),
-            F.sum(F.when(~keep, F.col("d_tp")).otherwise(0)).alias("fn"),
-            F.sum(F.when(~keep, F.col("d_fp")).otherwise(0)).alias("tn"),
-            F.max("best_threshold").alias("threshold"),
-        )
-    ).select("model", "threshold", "precision", "recall", "f1")
-    plain = normalised_gain(pred.withColumn("_one", F.lit(1)), "_one", "gain_auc")
-    sized = pred.join(sizes.filter(F.col("lines") <= max_lines), "id")
-    norm = normalised_gain(sized, "lines", "gain_norm_auc")
-    out = point
-    for part in (
-        pr_area(curve),
-        roc_area(curve),
-        plain,
-        norm,
-        fpr_at_tpr(roc_curve(curve), fpr_at, "fpr_at_tpr"),
-    ):
-        out = out.join(part, "model", "left")
-    return out
+    curve = pr_curve(threshold_curve(pred))
+    tpr, fpr = ratio(F.col("tp"), F.col("n_pos")), ratio(F.col("fp"), F.col("n_neg"))
+    # the point just above the best threshold leaves out the step taken at it
+    called = F.struct(
+        "threshold",
+        (F.col("tp") if inclusive else F.col("tp") - F.col("d_tp")).alias("tp"),
+        (F.col("fp") if inclusive else F.col("fp") - F.col("d_fp")).alias("fp"),
+        "n_pos",
+    )
+    best_first = F.when(F.col("f1").isNotNull(), F.struct("f1", -F.col("threshold")))
+    s = curve.groupBy("model").agg(
+        F.max_by(called, best_first).alias("b"),
+        _pr_area().alias("pr_auc"),
+        _roc_area().alias("roc_auc"),
+        F.min_by(fpr, F.when((tpr >= fpr_at) & _corner(), F.col("place"))).alias("fpr_at_tpr"),
+    )
+    p, r = ratio(F.col("b.tp"), F.col("b.tp") + F.col("b.fp")), ratio(F.col("b.tp"), F.col("b.n_pos"))
+    known = sizes.filter(F.col("lines") <= max_lines)
+    gains = normalised_gain(
+        pred.join(known, "id", "left"), {"gain_auc": F.lit(1), "gain_norm_auc": F.col("lines")}
+    )
+    return s.join(gains, "model", "left").select(
+        "model",
+        F.col("b.threshold").alias("threshold"),
+        p.alias("precision"),
+        r.alias("recall"),
+        F.try_divide(2 * p * r, p + r).alias("f1"),
+        "pr_auc",
+        "roc_auc",
+        "gain_auc",
+        "gain_norm_auc",
+        "fpr_at_tpr",
+    )
 
 
 def threshold_at_recall(curve: DataFrame, levels: Sequence[float]) -> DataFrame:

@@ -155,13 +155,9 @@ def q_gain_auc(t):
     round(max(CASE WHEN kind = 'sized' THEN gain END), 6) AS gain_norm_auc FROM {o_gain_norm} GROUP BY model""",
 )
 def q_gain_norm(t):
-    pred = t.v_predictions
-    plain = m.normalised_gain(pred.withColumn("one", F.lit(1)), "one", "gain_auc")
-    sized = pred.join(t.v_sizes.filter(F.col("lines") <= 2000), "id")
-    norm = m.normalised_gain(sized, "lines", "gain_norm_auc")
-    return plain.join(norm, "model").select(
-        "model", r6("gain_auc", "gain_auc"), r6("gain_norm_auc", "gain_norm_auc")
-    )
+    sized = t.v_predictions.join(t.v_sizes.filter(F.col("lines") <= 2000), "id", "left")
+    out = m.normalised_gain(sized, {"gain_auc": F.lit(1), "gain_norm_auc": F.col("lines")})
+    return out.select("model", r6("gain_auc", "gain_auc"), r6("gain_norm_auc", "gain_norm_auc"))
 
 
 @query("q_roc_auc", "SELECT model, round(roc_auc, 6) AS roc_auc FROM {o_roc_auc}")
@@ -338,7 +334,7 @@ _DIFF = ", ".join(
 )
 def q_metric_diff(t):
     curve = m.threshold_curve(t.v_predictions)
-    plain = m.normalised_gain(t.v_predictions.withColumn("one", F.lit(1)), "one", "gain_auc")
+    plain = m.normalised_gain(t.v_predictions, {"gain_auc": F.lit(1)})
     table = m.roc_area(curve).join(m.pr_area(curve), "model").join(plain, "model")
     return m.paired_difference(table, "m1", ["roc_auc", "pr_auc", "gain_auc"])
 

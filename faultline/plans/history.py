@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from faultline.functions.columns import big, r6
 from faultline.operators import history as h
 from faultline.plans.registry import VIEWS, query
+from faultline.session import cut_lineage
 
 VIEWS["v_fix_flag"] = """
 SELECT l_orderkey AS commit_id, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS fix FROM {lineitem} GROUP BY l_orderkey"""
@@ -80,7 +81,7 @@ def q_age(t):
 
 @query("q_ndev", "SELECT commit_id, ndev FROM {o_ndev}")
 def q_ndev(t):
-    changes = t.v_file_changes
+    changes = cut_lineage(t.v_file_changes)
     return h.developers(changes, h.file_history(changes)).select("commit_id", big("ndev", "ndev"))
 
 
