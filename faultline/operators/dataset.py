@@ -73,10 +73,10 @@ def combine_labelled(vulnerable: DataFrame, safe: DataFrame, key: str = "commit_
 def temporal_split(df: DataFrame, test_fraction: float, key: str = "commit_id") -> DataFrame:
     """Add ``is_test``: the most recent ``floor(n * fraction)`` rows, ids breaking ties."""
     ranked = ordered_scan(
-        df, [], [F.col("commit_date").desc(), F.col(key).asc()], {"_rn": row_number()}
+        df, [], [F.col("commit_date").desc(), F.col(key).asc()], {"_rn": row_number()}, totals={"_n": row_number()}
     )
-    n_test = df.agg(F.floor(F.count(F.lit(1)) * F.lit(test_fraction))).scalar()
-    return ranked.withColumn("is_test", F.col("_rn") <= n_test).drop("_rn")
+    n_test = F.floor(F.col("_n") * F.lit(test_fraction))
+    return ranked.withColumn("is_test", F.col("_rn") <= n_test).drop("_rn", "_n")
 
 
 def random_split(
@@ -84,10 +84,10 @@ def random_split(
 ) -> DataFrame:
     """Mark ``ceil(n * fraction)`` rows, chosen by seeded hash order."""
     ranked = ordered_scan(
-        df.withColumn("_h", hash_key(seed, F.col(key))), [], ["_h", key], {"_rn": row_number()}
+        df.withColumn("_h", hash_key(seed, F.col(key))), [], ["_h", key], {"_rn": row_number()}, totals={"_n": row_number()}
     )
-    n = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction))).scalar()
-    return ranked.withColumn(name, F.col("_rn") <= n).drop("_rn", "_h")
+    n = F.ceil(F.col("_n") * F.lit(fraction))
+    return ranked.withColumn(name, F.col("_rn") <= n).drop("_rn", "_n", "_h")
 
 
 def three_way_split(
@@ -203,10 +203,9 @@ def aligned(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 def position_folds(df: DataFrame, order: Sequence, k: int = 5) -> DataFrame:
     """Contiguous folds of ``floor(n / k)`` rows; the remainder has fold null (training only)."""
-    ranked = ordered_scan(df, [], order, {"_rn": row_number()})
-    size = df.agg(F.floor(F.count(F.lit(1)) / k)).scalar()
-    fold = F.floor((F.col("_rn") - 1) / size).cast("int")
-    return ranked.withColumn("fold", F.when(fold < k, fold)).drop("_rn")
+    ranked = ordered_scan(df, [], order, {"_rn": row_number()}, totals={"_n": row_number()})
+    fold = F.floor((F.col("_rn") - 1) / F.floor(F.col("_n") / k)).cast("int")
+    return ranked.withColumn("fold", F.when(fold < k, fold)).drop("_rn", "_n")
 
 
 def recent_windows(df: DataFrame, keys: Sequence[str], order_desc: Sequence, train: int, test: int) -> DataFrame:

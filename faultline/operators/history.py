@@ -183,8 +183,8 @@ def process_metrics(
     ``fixes`` has (commit_id, fix).
     """
     changes = cut_lineage(changes)  # read by every metric below
-    history = file_history(changes)
-    with_exp = experience(changes)
+    history = cut_lineage(file_history(changes))
+    with_exp = cut_lineage(experience(changes))
     p = F.col("path")
     own = changes.groupBy("commit_id", "author", "commit_date").agg(
         F.count_distinct(x.subsystem(p)).alias("ns"),
@@ -215,7 +215,7 @@ def history_features(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Strictly earlier changes, authors and own touches over the touched files, and the author's
     share of all commits so far."""
     changes = cut_lineage(changes)
-    history = file_history(changes)
+    history = cut_lineage(file_history(changes))
     own = ordered_scan(changes, ["path", "author"], WHEN, {"_own": row_number()}).groupBy("commit_id").agg(
         F.sum(F.col("_own") - 1).alias("author_touches")
     )

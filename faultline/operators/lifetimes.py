@@ -163,6 +163,7 @@ def lifetime_table(df: DataFrame, field: str, value: str = "lifetime") -> DataFr
     """Mean, median, deviation and variance by ``field``, then the plain mean of these rows and the
     figures over all rows."""
     cols = ["average", "median", "deviation", "variance"]
+    df = cut_lineage(df.select(field, value))
     by = _summary(df.filter(F.col(field).isNotNull()), [field], value).select(F.col(field).cast("string").alias(field), *cols)
     macro = by.agg(*[F.avg(c).alias(c) for c in cols]).select(F.lit("Macro Avg.").alias(field), *cols)
     overall = _summary(df, [], value).select(F.lit("Overall").alias(field), *cols)
@@ -171,6 +172,7 @@ def lifetime_table(df: DataFrame, field: str, value: str = "lifetime") -> DataFr
 
 def lifetime_quantiles(df: DataFrame, value: str = "lifetime") -> DataFrame:
     """Mean, quartiles, mean absolute deviation and the share of rows at or below the mean."""
+    df = cut_lineage(df.select(value))
     mean = df.agg(F.avg(value)).scalar()
     q = exact_quantiles(df, [], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = df.agg(
@@ -206,6 +208,7 @@ def year_mix(df: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles, whiskers (outermost rows within 1.5 box heights) and rows beyond, per key."""
+    df = cut_lineage(df.select(key, value))
     q = exact_quantiles(df, [key], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     # equal values are counted first: the join moves one row per distinct value
     counts = df.groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

@@ -54,10 +54,9 @@ def threshold_curve(pred: DataFrame) -> DataFrame:
             "place": row_number(),
             "next_step": following(F.struct(F.col("pos").alias("tp"), F.col("neg").alias("fp"))),
         },
+        totals={"n_pos": running_sum("pos"), "n_neg": running_sum("neg")},
     )
-    # the last running values are the class totals: the predictions are not read again
-    totals = running.groupBy("model").agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
-    return running.join(totals, "model").select(
+    return running.select(
         "model",
         F.col("y_pred").alias("threshold"),
         "tp",
@@ -193,9 +192,9 @@ def gain_curve(pred: DataFrame, size: str, keys: Sequence[str] = ("model",)) ->
         keys,
         [F.col("y_pred").desc(), F.col(size).asc(), F.col("id").asc()],
         {"rank": row_number(), "_seen": running_sum(size), "_found": running_sum(pos_size)},
+        totals={"_size": running_sum(size), "_pos_size": running_sum(pos_size)},
     )
-    totals = running.groupBy(*keys).agg(F.max("_seen").alias("_size"), F.max("_found").alias("_pos_size"))
-    return running.join(totals, keys).select(
+    return running.select(
         *pred.columns,
         "rank",
         (ratio(F.col("_seen"), F.col("_size")) * 100).alias("x"),

@@ -14,6 +14,7 @@ from faultline.functions import text as x
 from faultline.operators import diff as d
 from faultline.operators.quantiles import median_and_mad
 from faultline.operators.scan import ordered_scan, row_number, running_sum
+from faultline.session import cut_lineage
 
 
 # --- fix-inducing changes ------------------------------------------------------------------------
@@ -47,14 +48,14 @@ def inducing_counts(lines: DataFrame) -> DataFrame:
 
 def issue_bound(counts: DataFrame) -> DataFrame:
     """median + 3 * 1.4826 * MAD of the issues per blamed commit; a MAD of 0 counts as 1."""
-    m = median_and_mad(counts, [], "n_issues")
+    m = median_and_mad(cut_lineage(counts.select("n_issues")), [], "n_issues")
     mad = F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))
     return m.select("median", "mad", (F.col("median") + 3 * 1.4826 * mad).alias("upper"))
 
 
 def time_bound(days: DataFrame, value: str) -> DataFrame:
     """median + 3 * MAD of the fix times."""
-    m = median_and_mad(days, [], value)
+    m = median_and_mad(cut_lineage(days.select(value)), [], value)
     return m.select("median", "mad", (F.col("median") + 3 * F.col("mad")).alias("upper"))
 
 
@@ -64,7 +65,7 @@ def fix_inducing(lines: DataFrame) -> DataFrame:
     The bound depends on the blamed commit alone, so counting again without the outliers equals
     dropping their rows from the first count.
     """
-    counts = inducing_counts(lines)
+    counts = cut_lineage(inducing_counts(lines))
     upper = issue_bound(counts).select("upper").scalar()
     return counts.filter(F.col("n_issues") <= upper)
 
@@ -81,9 +82,10 @@ def fix_times(lines: DataFrame, commits: DataFrame) -> DataFrame:
 def fix_time_stats(days: DataFrame, value: str = "days", share: float = 0.1) -> DataFrame:
     """Mean, median and the value at place ``int(n * share)`` of the descending order."""
     counts = days.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    run = ordered_scan(counts, [], [F.col("_v").desc()], {"_upto": running_sum("_n")})
-    total = F.max("_upto")
-    n = run.agg(total).scalar()
+    run = ordered_scan(
+        counts, [], [F.col("_v").desc()], {"_upto": running_sum("_n")}, totals={"_all": running_sum("_n")}
+    )
+    n = F.col("_all")
     lo, hi = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
     at = lambda i: F.max(F.when(F.col("_upto") > i, F.col("_v")))
     return run.agg(
@@ -193,7 +195,7 @@ def heuristic_with_confidence(
     code = _code_hunks(hunks)
     both = _deleted(code).unionByName(_around_additions(code))
     named = (F.col("function") != "") & F.contains(F.lower(F.coalesce("summary", F.lit(""))), F.lower("function"))
-    counts = _blame_counts(both, blame, F.when(named, boost).otherwise(1))
+    counts = cut_lineage(_blame_counts(both, blame, F.when(named, boost).otherwise(1)))
     levels = counts.groupBy("fix", "weight").agg(F.count(F.lit(1)).alias("_n"))
     top = levels.groupBy("fix").agg(
         F.max("weight").alias("_top"),
@@ -338,8 +340,10 @@ def unusual_messages(mapped: DataFrame, phrases: Sequence[str]) -> DataFrame:
 
 def commit_distance(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     """Commits between ``older`` and ``newer`` on a linear history per project."""
-    placed = ordered_scan(
-        commits.select("project", "commit_id", "commit_date"), ["project"], ["commit_date", "commit_id"], {"place": row_number()}
+    placed = cut_lineage(
+        ordered_scan(
+            commits.select("project", "commit_id", "commit_date"), ["project"], ["commit_date", "commit_id"], {"place": row_number()}
+        )
     )
     a = placed.select(F.col("commit_id").alias("older"), F.col("project").alias("_p"), F.col("place").alias("_a"))
     b = placed.select(F.col("commit_id").alias("newer"), F.col("project").alias("_q"), F.col("place").alias("_b"))

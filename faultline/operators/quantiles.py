@@ -23,17 +23,13 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = ordered_scan(counts, keys, ["_v"], {"_upto": running_sum("_n")})
+    placed = ordered_scan(
+        counts, keys, ["_v"], {"_upto": running_sum("_n")}, totals={"_total": running_sum("_n")}
+    )
     return _pick(placed, keys, probs)
 
 
 def _pick(placed: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    if keys:
-        joined = placed.join(totals, keys)
-    else:
-        joined = placed.withColumn("_total", totals.scalar())
-
     def at(p: float, rounding) -> Column:
         index = rounding((F.col("_total") - 1) * F.lit(float(p)))
         return F.min(F.when(F.col("_upto") > index, F.col("_v")))
@@ -41,7 +37,7 @@ def _pick(placed: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFr
     aggs = [F.max("_total").alias("_total")]
     for name, p in probs.items():
         aggs += [at(p, F.floor).alias(f"_lo_{name}"), at(p, F.ceil).alias(f"_hi_{name}")]
-    picked = joined.groupBy(*keys).agg(*aggs)
+    picked = placed.groupBy(*keys).agg(*aggs)
     out = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))

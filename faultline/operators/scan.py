@@ -59,17 +59,20 @@ def ordered_scan(
     order: Sequence[Column | str],
     outputs: dict[str, tuple[str, Column]],
     partitions: int | None = None,
+    totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Add running columns to ``df``.
 
     ``order`` must be total inside a key (end it with an id). Columns of ``df`` are kept; each entry
-    of ``outputs`` adds one. Keys may be empty, which gives one global order.
+    of ``outputs`` adds one. Keys may be empty, which gives one global order. ``totals`` adds counts
+    or sums over the whole key, taken from the placed rows so that ``df`` is not evaluated again.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     by = [F.col(k).asc() for k in keys] + _order_columns(order)
-    inputs = [col.alias(f"_in_{name}") for name, (_, col) in outputs.items()]
+    totals = totals or {}
+    inputs = [col.alias(f"_in_{name}") for name, (_, col) in {**outputs, **totals}.items()]
     placed = (
         df.select("*", *inputs)
         .repartitionByRange(n, *by)
@@ -85,27 +88,27 @@ def ordered_scan(
 
     later = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(1, Window.unboundedFollowing)
 
-    local_cols, totals, carried, merged, have = [], [], [], [], []
+    local_cols, sums, carried, merged, have = [], [], [], [], []
     for name, (kind, _) in outputs.items():
         src, loc, tot, add = F.col(f"_in_{name}"), f"_loc_{name}", f"_tot_{name}", f"_add_{name}"
         if kind == "count":
             local_cols.append(F.row_number().over(local).cast("bigint").alias(loc))
-            totals.append(F.count(F.lit(1)).alias(tot))
+            sums.append(F.count(F.lit(1)).alias(tot))
         elif kind == "sum":
             local_cols.append(F.sum(src).over(upto).alias(loc))
-            totals.append(F.sum(src).alias(tot))
+            sums.append(F.sum(src).alias(tot))
         elif kind == "max":
             local_cols.append(F.max(src).over(upto).alias(loc))
-            totals.append(F.max(src).alias(tot))
+            sums.append(F.max(src).alias(tot))
         elif kind == "last":
             local_cols.append(F.last(src, ignorenulls=True).over(upto).alias(loc))
-            totals.append(F.max_by(src, F.when(src.isNotNull(), F.col(_POS))).alias(tot))
+            sums.append(F.max_by(src, F.when(src.isNotNull(), F.col(_POS))).alias(tot))
         elif kind == "lag":
             local_cols.append(F.lag(F.struct(src.alias("v"))).over(local).alias(loc))
-            totals.append(F.max_by(F.struct(src.alias("v")), F.col(_POS)).alias(tot))
+            sums.append(F.max_by(F.struct(src.alias("v")), F.col(_POS)).alias(tot))
         elif kind == "lead":
             local_cols.append(F.lead(F.struct(src.alias("v"))).over(local).alias(loc))
-            totals.append(F.min_by(F.struct(src.alias("v")), F.col(_POS)).alias(tot))
+            sums.append(F.min_by(F.struct(src.alias("v")), F.col(_POS)).alias(tot))
         else:
             raise ValueError(f"unknown running value: {kind}")
 
@@ -136,7 +139,7 @@ def ordered_scan(
         any_carried = any_carried | h
     offsets = (
         placed.groupBy(_PART, *keys)
-        .agg(*totals)
+        .agg(*sums)
         .select(_PART, *keys, *carried)
         .filter(any_carried)  # the key crossed a border: at most one row per partition
     )
@@ -147,4 +150,13 @@ def ordered_scan(
         on = on & running[k].eqNullSafe(offsets[k])
     small = F.broadcast(offsets)
     joined = running.join(small, on, "left")
-    return joined.select(*[running[c] for c in kept], *merged)
+    out = joined.select(*[running[c] for c in kept], *merged)
+    if not totals:
+        return out
+    whole = [
+        (F.count(F.lit(1)) if kind == "count" else F.sum(f"_in_{name}")).alias(name) for name, (kind, _) in totals.items()
+    ]
+    if keys:
+        return out.join(placed.groupBy(*keys).agg(*whole), keys)
+    one = placed.agg(F.struct(*whole)).scalar()
+    return out.withColumn("_whole", one).select(*out.columns, *[F.col(f"_whole.{n}").alias(n) for n in totals])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.operators.scan import ordered_scan, running_sum
+from faultline.session import cut_lineage
 
 
 def linear_trend(points: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,9 +84,8 @@ def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFr
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation; equal pairs are counted once and weighted."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
-    rows = pairs.select(x, y, "_w")
-    whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    whole = cut_lineage(df.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    rows = whole.groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
     rx = average_ranks(whole, x).select(x, F.col("rank").alias("_a"))
     ry = average_ranks(whole, y).select(y, F.col("rank").alias("_b"))
     w, a, b = F.col("_w"), F.col("_a"), F.col("_b")
@@ -103,7 +103,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, and its degrees of freedom."""
-    ranks = average_ranks(df, value)
+    df = cut_lineage(df.select(group, value))
+    ranks = cut_lineage(average_ranks(df, value))
     cells = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
     sums = (
         cells.join(ranks.select(value, "rank"), value)

@@ -82,7 +82,7 @@ def q_age(t):
 @query("q_ndev", "SELECT commit_id, ndev FROM {o_ndev}")
 def q_ndev(t):
     changes = cut_lineage(t.v_file_changes)
-    return h.developers(changes, h.file_history(changes)).select("commit_id", big("ndev", "ndev"))
+    return h.developers(changes, cut_lineage(h.file_history(changes))).select("commit_id", big("ndev", "ndev"))
 
 
 @query("q_exp", "SELECT commit_id, CAST(exp AS BIGINT) AS exp FROM {o_exp}")
@@ -92,7 +92,7 @@ def q_exp(t):
 
 @query("q_rexp", "SELECT commit_id, round(rexp, 6) AS rexp FROM {o_exp}")
 def q_rexp(t):
-    return h.recent_experience(h.experience(t.v_file_changes)).select("commit_id", r6("rexp", "rexp"))
+    return h.recent_experience(cut_lineage(h.experience(t.v_file_changes))).select("commit_id", r6("rexp", "rexp"))
 
 
 @query("q_sexp", "SELECT commit_id, sexp FROM {o_sexp}")
