@@ -84,21 +84,51 @@ def changes_and_age(history: DataFrame) -> DataFrame:
     )
 
 
-def developers(changes: DataFrame, history: DataFrame) -> DataFrame:
+def developers(changes: DataFrame, history: DataFrame, block: int = 512, in_row: int = 4096) -> DataFrame:
     """``ndev``: distinct authors so far over all files of the commit.
 
-    The file with the most authors is counted by its running count alone. Only the other files of a
-    commit list their authors, and those are added that the first file does not have yet. So the
-    author list of a hot file is not repeated for each of its commits.
+    The authors of a file so far are the first ``file_authors`` entries of its author list in order
+    of first touch. The lists are kept in blocks of ``block`` authors. A commit whose files have at
+    most ``in_row`` authors together unites the list prefixes in one row; for a larger one the
+    authors are counted by joins (``_developers_by_join``).
     """
-    ranked = history.select("commit_id", "commit_date", "path", "file_authors")
-    top = ranked.groupBy("commit_id").agg(
+    first = first_touches(changes)
+    rows = history.select("commit_id", "commit_date", "path", "file_authors")
+    load = rows.groupBy("commit_id").agg(F.sum("file_authors").alias("_load"))
+    loaded = rows.join(load, "commit_id")
+    small = loaded.filter(F.col("_load") <= in_row)
+    places = ordered_scan(first, ["path"], ["first"], {"_nth": row_number()})
+    # lists beyond the limit are not needed here: nobody reads past in_row entries of a file
+    lists = (
+        places.filter(F.col("_nth") <= in_row)
+        .groupBy("path", F.floor((F.col("_nth") - 1) / block).alias("_block"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "author"))), lambda e: e["author"]).alias("_authors"))
+    )
+    last = F.floor((F.col("file_authors") - 1) / block)
+    wanted = small.select(
+        "commit_id", "path", "file_authors", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block")
+    )
+    upto = F.least(F.col("file_authors") - F.col("_block") * block, F.lit(block)).cast("int")
+    united = (
+        wanted.join(lists, ["path", "_block"])
+        .select("commit_id", F.slice("_authors", F.lit(1), upto).alias("_a"))
+        .groupBy("commit_id")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_a")))).cast("bigint").alias("ndev"))
+    )
+    large = loaded.filter(F.col("_load") > in_row).drop("_load")
+    return united.unionByName(_developers_by_join(first, large))
+
+
+def _developers_by_join(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """The file with the most authors is counted by its running count alone. Only the other files of
+    a commit list their authors, and those are added that the first file does not have yet. So the
+    author list of a hot file is not repeated for each of its commits."""
+    top = rows.groupBy("commit_id").agg(
         F.max_by(F.struct("path", "file_authors"), F.struct("file_authors", "path")).alias("top")
     )
     top = top.select("commit_id", F.col("top.path").alias("top_path"), F.col("top.file_authors").alias("n_top"))
-    first = first_touches(changes)
     now = F.struct("commit_date", "commit_id")
-    others = ranked.join(top, "commit_id").filter(F.col("path") != F.col("top_path"))
+    others = rows.join(top, "commit_id").filter(F.col("path") != F.col("top_path"))
     listed = (
         others.join(first, "path")
         .filter(F.col("first") <= now)

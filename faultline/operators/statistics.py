@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from faultline.operators.scan import ordered_scan, running_sum
 from faultline.session import cut_lineage
@@ -101,8 +103,22 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("n", F.try_divide(cov, F.sqrt(va * vb)).alias("rho"))
 
 
+@F.pandas_udf(T.DoubleType())
+def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """Probability of a chi-square value above ``x``; for the one row a test ends in."""
+
+    def tail(v: float, k: int) -> float:
+        h = v / 2
+        if k % 2 == 0:
+            return math.exp(-h) * sum(h**i / math.factorial(i) for i in range(k // 2))
+        terms = sum(h ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (k - 1) // 2 + 1))
+        return math.erfc(math.sqrt(h)) + math.exp(-h) * terms
+
+    return pd.Series([tail(float(a), int(b)) for a, b in zip(x, df)])
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, and its degrees of freedom."""
+    """Kruskal-Wallis H with tie correction, its degrees of freedom and p-value."""
     df = cut_lineage(df.select(group, value))
     ranks = cut_lineage(average_ranks(df, value))
     cells = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -117,7 +133,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("m")) - 3 * (n + 1)
     return sums.agg(
         h.alias("_h"), n.alias("_n"), (F.count(F.lit(1)) - 1).alias("df")
-    ).select((F.col("_h") / (1 - ties / (F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")))).alias("h"), "df")
+    ).select((F.col("_h") / (1 - ties / (F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")))).alias("h"), "df").withColumn(
+        "p_value", chi_square_tail("h", "df")
+    )
 
 
 def exponential_fit(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -82,6 +82,15 @@ def test_metrics_equal_the_loop(spark, partitions):
     assert got[1]["fix"] == 1 and got[2]["fix"] == 0
 
 
+@pytest.mark.parametrize("block, in_row", [(512, 4096), (2, 4096), (3, 9), (1, 0)])
+def test_developers_by_lists_and_by_joins(spark, block, in_row):
+    data = make(5)
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {c: w["ndev"] for c, w in by_loop(data).items()}
+    got = h.developers(df, h.file_history(df), block=block, in_row=in_row)
+    assert {r["commit_id"]: r["ndev"] for r in got.collect()} == want
+
+
 def test_range_is_cut_after_the_history(spark):
     df = spark.createDataFrame(make(), SCHEMA)
     fixes = spark.createDataFrame([], "commit_id int, fix int")

@@ -140,6 +140,13 @@ def test_permutation_agrees_with_plain_shuffling(spark):
     assert got["p_value"] == pytest.approx(sum(hits) / len(hits), abs=0.03)
 
 
+def test_kruskal_and_tail(spark):
+    df = spark.createDataFrame([(5.991464547, 2), (7.814727903, 3), (0.0, 1)], "x double, k int")
+    assert [r[0] for r in df.select(st.chi_square_tail("x", "k")).collect()] == pytest.approx([0.05, 0.05, 1.0], abs=1e-6)
+    r = st.kruskal(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "g string, v int"), "g", "v").first()
+    assert (r["h"], r["df"]) == (pytest.approx(2.4), 1) and r["p_value"] == pytest.approx(0.121335, abs=1e-5)
+
+
 def test_stream_restart_and_rerun(spark, rows):
     base = shared_folder(spark, "t-stream")
     t0 = datetime.datetime(2022, 1, 1)
