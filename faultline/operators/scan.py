@@ -11,12 +11,14 @@ with that bound.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.session import cut_lineage
 
 _PART, _POS = "_part", "_pos"
+BROADCAST_ROWS = 10_000
 # kind -> how the partition totals of earlier partitions combine
 _ADDITIVE = ("count", "sum")
 
@@ -157,6 +159,11 @@ def ordered_scan(
         (F.count(F.lit(1)) if kind == "count" else F.sum(f"_in_{name}")).alias(name) for name, (kind, _) in totals.items()
     ]
     if keys:
-        return out.join(placed.groupBy(*keys).agg(*whole), keys)
+        names = [f"_key_{k}" for k in keys]
+        groups = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*whole)
+        # few keys, counted: broadcast, so that a heavy key is not gathered for this join
+        few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+        return out.join(F.broadcast(groups) if few else groups, same).drop(*names)
     one = placed.agg(F.struct(*whole)).scalar()
     return out.withColumn("_whole", one).select(*out.columns, *[F.col(f"_whole.{n}").alias(n) for n in totals])

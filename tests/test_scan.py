@@ -57,6 +57,16 @@ def test_hot_key_is_spread(skewed):
     assert got.filter("key = 'hot'").agg(F.max("rn")).first()[0] == skewed.filter("key = 'hot'").count()
 
 
+@pytest.mark.parametrize("bound", [10_000, 3])
+def test_totals_per_key(skewed, rows, monkeypatch, bound):
+    monkeypatch.setattr(s, "BROADCAST_ROWS", bound)
+    df = skewed.withColumn("key", F.when(F.col("key") != "k1", F.col("key")))
+    w = Window.partitionBy("key")
+    want = df.select("id", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("total"))
+    got = s.ordered_scan(df, ["key"], ["day", "id"], {"rn": s.row_number()}, totals={"n": s.row_number(), "total": s.running_sum("v")})
+    assert rows(got, "id", "n", "total") == rows(want)
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, v int")
     assert s.ordered_scan(df, ["k"], ["v"], {"rn": s.row_number()}).count() == 0
