@@ -47,6 +47,21 @@ def path_counts(changes: DataFrame) -> DataFrame:
     )
 
 
+def own_metrics(changes: DataFrame) -> DataFrame:
+    """What a commit shows by itself, in one pass: spread over subsystems, directories and files,
+    entropy and sizes."""
+    p = F.col("path")
+    return changes.groupBy("commit_id", "author", "commit_date").agg(
+        F.count_distinct(x.subsystem(p)).alias("ns"),
+        F.count_distinct(x.directory(p)).alias("nd"),
+        F.count_distinct(x.file_name(p)).alias("nf"),
+        _entropy().alias("entropy"),
+        F.sum("lines_added").alias("la"),
+        F.sum("lines_deleted").alias("ld"),
+        F.sum("lines_before").alias("lt"),
+    )
+
+
 def first_touches(changes: DataFrame) -> DataFrame:
     """When each author first touched each file: ``(path, author, first)``; a plain minimum, so it
     is combined before the shuffle."""
@@ -215,16 +230,7 @@ def process_metrics(
     changes = cut_lineage(changes)  # read by every metric below
     history = cut_lineage(file_history(changes))
     with_exp = cut_lineage(experience(changes))
-    p = F.col("path")
-    own = changes.groupBy("commit_id", "author", "commit_date").agg(
-        F.count_distinct(x.subsystem(p)).alias("ns"),
-        F.count_distinct(x.directory(p)).alias("nd"),
-        F.count_distinct(x.file_name(p)).alias("nf"),
-        _entropy().alias("entropy"),
-        F.sum("lines_added").alias("la"),
-        F.sum("lines_deleted").alias("ld"),
-        F.sum("lines_before").alias("lt"),
-    )
+    own = own_metrics(changes)
     if first_day is not None:
         own = own.filter(F.to_date("commit_date") >= F.lit(first_day).cast("date"))
     if last_day is not None:
