@@ -7,10 +7,12 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import fixity, line_dedup, mixing, sharding, url_reputation
+from faultline.llm import fixity, line_dedup, mixing, rtree_join, sharding, url_reputation
+from faultline.llm.storage import send_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -54,6 +56,10 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 _STRIP = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

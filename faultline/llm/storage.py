@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
+import faultline
 from faultline.session import shared_folder
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application; they fetch it from the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    root = Path(faultline.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    folder = Path(tempfile.mkdtemp(prefix="faultline-code-"))
+    (folder / "faultline_code.zip").write_bytes(packed.getvalue())
+    sc.addPyFile(str(folder / "faultline_code.zip"))  # copied to where the driver serves files from
+    _SENT.add(sc.applicationId)
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here, so a lost executor costs
