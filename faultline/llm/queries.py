@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import embedding_dedup, fixity, line_dedup, mixing, rtree_join, sharding, url_reputation
+from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, rtree_join, sharding, url_reputation
 from faultline.llm.storage import send_package
 
 
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
