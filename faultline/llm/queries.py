@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, rtree_join, sharding, url_reputation
+from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, quality, rtree_join, sharding, url_reputation
 from faultline.llm.storage import send_package
 
 
@@ -55,6 +55,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
