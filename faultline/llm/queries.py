@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, quality, rtree_join, sharding, url_reputation
+from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, pitman_yor, quality, rtree_join, sharding, url_reputation
 from faultline.llm.storage import send_package
 
 
@@ -72,6 +72,10 @@ def op9_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rtree_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(_table(spark, sf_dir, "documents"))
+
+
 _STRIP = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
