@@ -23,13 +23,14 @@ NULL_TOKEN = "<NULL>"
 
 # C and C++ words whose use is counted.
 CODE_KEYWORDS = (
-    "auto break case char const continue default do double else enum extern float for goto if int "
-    "long register return short signed sizeof static struct switch typedef union unsigned void "
-    "volatile while asm dynamic_cast namespace reinterpret_cast try bool explicit new static_cast "
-    "typeid catch false operator template typename class friend private this using const_cast inline "
-    "public throw virtual delete mutable protected true wchar_t malloc calloc realloc free alloca "
-    "allocinteger"
-).split()
+    "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern",
+    "float", "for", "goto", "if", "int", "long", "register", "return", "short", "signed", "sizeof", "static",
+    "struct", "switch", "typedef", "union", "unsigned", "void", "volatile", "while", "asm", "dynamic_cast",
+    "namespace", "reinterpret_cast", "try", "bool", "explicit", "new", "static_cast", "typeid", "catch", "false",
+    "operator", "template", "typename", "class", "friend", "private", "this", "using", "const_cast", "inline",
+    "public", "throw", "virtual", "delete", "mutable", "protected", "true", "wchar_t", "malloc", "calloc", "realloc",
+    "free", "alloca", "allocinteger",
+)
 
 
 def squeeze(text: Column) -> Column:

@@ -11,7 +11,7 @@ from faultline.session import cut_lineage
 
 GROUND_DATE = "1900-01-01"
 
-# Weakness classes by category.
+# Names of the categories.
 CATEGORY_NAMES = {
     1: "Memory and Resource Management",
     2: "Input Validation and Sanitization",
@@ -20,21 +20,23 @@ CATEGORY_NAMES = {
     5: "Others",
     6: "Concurrency",
 }
-CATEGORY_CWES = {
-    1: "119 120 125 190 191 399 400 404 415 416 476 664 763 770 772 787 824 1187",
-    2: "20 22 59 74 77 78 89 91 93 94 129 502 707",
-    3: "17 193 369 617 674 682 834 835",
-    4: "79 92 189 200 203 254 255 264 269 275 276 281 284 285 287 290 310 311 319 320 327 347 352 358 "
-    "426 522 538 601 668 732 862 863 922",
-    5: "NVD-Other 16 19 134 199 252 295 330 345 346 354 388 391 417 427 434 532 534 610 665 704 706 754 "
-    "755 829 843 918 1021",
-    6: "361 362",
+# Category of each weakness class.
+CWE_CATEGORY = {
+    "16": 5, "17": 3, "19": 5, "20": 2, "22": 2, "59": 2, "74": 2, "77": 2, "78": 2, "79": 4, "89": 2, "91": 2, "92": 4,
+    "93": 2, "94": 2, "119": 1, "120": 1, "125": 1, "129": 2, "134": 5, "189": 4, "190": 1, "191": 1, "193": 3, "199": 5,
+    "200": 4, "203": 4, "252": 5, "254": 4, "255": 4, "264": 4, "269": 4, "275": 4, "276": 4, "281": 4, "284": 4,
+    "285": 4, "287": 4, "290": 4, "295": 5, "310": 4, "311": 4, "319": 4, "320": 4, "327": 4, "330": 5, "345": 5,
+    "346": 5, "347": 4, "352": 5, "354": 5, "358": 4, "361": 6, "362": 6, "369": 3, "388": 5, "391": 5, "399": 1,
+    "400": 1, "404": 1, "415": 1, "416": 1, "417": 5, "426": 4, "427": 5, "434": 5, "476": 1, "502": 2, "522": 4,
+    "532": 5, "534": 5, "538": 4, "601": 4, "610": 5, "617": 3, "664": 1, "665": 5, "668": 4, "674": 3, "682": 3,
+    "704": 5, "706": 5, "707": 2, "732": 4, "754": 5, "755": 5, "763": 1, "770": 1, "772": 1, "787": 1, "824": 1,
+    "829": 5, "834": 3, "835": 3, "843": 5, "862": 4, "863": 4, "918": 5, "922": 4, "1021": 5, "1187": 1, "NVD-Other": 5,
 }
 
 
 def category_table(spark) -> DataFrame:
     """(cwe, cat, cat_name): one row per known weakness class."""
-    rows = [(cwe, cat, CATEGORY_NAMES[cat]) for cat, cwes in CATEGORY_CWES.items() for cwe in cwes.split()]
+    rows = [(cwe, cat, CATEGORY_NAMES[cat]) for cwe, cat in CWE_CATEGORY.items()]
     return spark.createDataFrame(rows, "cwe_id string, cat int, cat_name string")
 
 
@@ -44,16 +46,29 @@ def with_category(df: DataFrame, cwe: str) -> DataFrame:
     return df.withColumn("cwe_id", F.regexp_replace(cwe, "^CWE-", "")).join(table, "cwe_id", "left").drop("cwe_id")
 
 
-def roots(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Topmost ancestor of each node of ``edges`` (node, parent): every round doubles the distance
-    looked ahead, so ``rounds`` = 4 serves trees up to 16 levels. Nodes without parent are their own
-    root and not listed."""
-    jump = edges.select("node", F.col("parent").alias("root"))
-    for _ in range(rounds):
+def primary_parents(relations: DataFrame) -> DataFrame:
+    """(node, parent) of relations (node, parent, nature, ordinal, position): the first primary ``ChildOf`` one of a node."""
+    kept = relations.filter((F.col("nature") == "ChildOf") & (F.col("ordinal") == "Primary"))
+    return kept.groupBy("node").agg(F.min_by("parent", F.struct("position", "parent")).alias("parent"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """Topmost ancestor of each node of ``edges`` (node, parent). Nodes without parent are their own root and not listed;
+    of several parents the smallest counts (``primary_parents`` chooses by rank).
+
+    Every round doubles the distance looked ahead, until no root has a parent. A cycle has no root and raises."""
+    jump = edges.groupBy("node").agg(F.min("parent").alias("root"))
+    reach, nodes = 1, None
+    while True:
         jump = cut_lineage(jump)
         ahead = jump.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        jump = jump.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
-    return jump
+        joined = jump.join(ahead, "root", "left")
+        if not joined.filter(F.col("_next").isNotNull()).limit(1).count():
+            return jump
+        nodes = nodes or jump.count()
+        if reach > nodes:
+            raise ValueError("the edges have a cycle")
+        jump, reach = joined.select("node", F.coalesce("_next", "root").alias("root")), 2 * reach
 
 
 def blame_summary(counts: DataFrame, commits: DataFrame) -> DataFrame:

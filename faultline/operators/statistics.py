@@ -108,11 +108,15 @@ def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """Probability of a chi-square value above ``x``; for the one row a test ends in."""
 
     def tail(v: float, k: int) -> float:
+        if v <= 0:
+            return 1.0
+        # Q(k/2, h) = Q(start) + sum of exp(-h) h^a / gamma(a + 1); each term from logarithms, so none overflows
         h = v / 2
-        if k % 2 == 0:
-            return math.exp(-h) * sum(h**i / math.factorial(i) for i in range(k // 2))
-        terms = sum(h ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (k - 1) // 2 + 1))
-        return math.erfc(math.sqrt(h)) + math.exp(-h) * terms
+        first = 0.0 if k % 2 == 0 else 0.5
+        rest = 0.0 if k % 2 == 0 else math.erfc(math.sqrt(h))
+        steps = int(k / 2 - first)
+        terms = (math.exp((first + i) * math.log(h) - h - math.lgamma(first + i + 1)) for i in range(steps))
+        return min(1.0, rest + math.fsum(terms))
 
     return pd.Series([tail(float(a), int(b)) for a, b in zip(x, df)])
 
@@ -218,6 +222,26 @@ def mean_interval(df: DataFrame, keys: Sequence[str], value: str, n: int | None
     )
 
 
+def drawn_counts(rng: np.random.Generator, sizes: np.ndarray, take: int, rounds: int) -> np.ndarray:
+    """How many of each value fall to a group of ``take`` rows, ``rounds`` times: multivariate hypergeometric draws.
+
+    Beyond 10^9 rows numpy does not draw them; there the values are drawn one after the other, each from the normal
+    limit of its own hypergeometric count (whose deviation is above 1e4 rows where it matters), rounded and kept within
+    what is possible."""
+    total = int(sizes.sum())
+    if total < 10**9:
+        return rng.multivariate_hypergeometric(sizes, take, size=rounds, method="marginals")
+    out = np.zeros((rounds, len(sizes)), np.int64)
+    left, open_ = np.full(rounds, take, np.int64), total
+    for i, size in enumerate(sizes.tolist()):
+        share = left / open_
+        spread = np.sqrt(np.maximum(size * share * (1 - share) * (open_ - size) / max(1, open_ - 1), 0))
+        drawn = np.rint(rng.normal(size * share, spread)).astype(np.int64)
+        out[:, i] = np.clip(drawn, np.maximum(0, left - (open_ - size)), np.minimum(size, left))
+        left, open_ = left - out[:, i], max(1, open_ - size)
+    return out
+
+
 def pairwise_permutation(
     df: DataFrame, group: str, value: str, rounds: int = 100_000, seed: int = 0, rounds_per_task: int = 250
 ) -> DataFrame:
@@ -257,7 +281,7 @@ def pairwise_permutation(
                 todo = min(rounds_per_task, rounds - row.chunk * rounds_per_task)
                 key = [seed, row.chunk, *f"{row.a_g}|{row.b_g}".encode()]
                 rng = np.random.default_rng(key)
-                drawn = rng.multivariate_hypergeometric(sizes, int(row.a_size), size=todo, method="marginals")
+                drawn = drawn_counts(rng, sizes, int(row.a_size), todo)
                 total = float((days * sizes).sum())
                 first = drawn @ days
                 gap = np.abs(first / row.a_size - (total - first) / row.b_size)

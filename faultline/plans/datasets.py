@@ -216,13 +216,12 @@ def q_rebuild_full(t):
 
 @query(
     "q_mix_projects",
-    """SELECT commit_id, commit_date, 1 AS label, CASE project WHEN '1-URGENT' THEN 'urgent' ELSE 'high' END AS project
-    FROM {v_vulnerable} WHERE project IN ('1-URGENT', '2-HIGH')""",
+    """SELECT commit_id, commit_date, 1 AS label, lower(substr(project, 3)) AS project FROM {v_vulnerable} WHERE project IS NOT NULL""",
 )
 def q_mix_projects(t):
     rows = t.v_vulnerable.withColumn("label", F.lit(1))
-    pick = lambda p: rows.filter(F.col("project") == p).drop("project")
-    return d.mix_projects({"urgent": pick("1-URGENT"), "high": pick("2-HIGH")})
+    priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")  # all there are
+    return d.mix_projects({p[2:].lower(): rows.filter(F.col("project") == p).drop("project") for p in priorities})
 
 
 @query(

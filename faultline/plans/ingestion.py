@@ -11,12 +11,12 @@ from faultline.sinks import tables as k
 from faultline.sources import files as s
 
 
-@query("q_read_results", "SELECT CAST(id AS VARCHAR) AS commit_sha, CAST(y_true AS DOUBLE) AS y_true, round(y_pred, 6) AS y_pred FROM {v_predictions} WHERE model <> 'm1'")
+@query("q_read_results", "SELECT CAST(id AS VARCHAR) AS commit_sha, CAST(y_true AS DOUBLE) AS y_true, round(y_pred, 6) AS y_pred FROM {v_predictions}")
 def q_read_results(t):
-    """One file with a header, one without, and one that is missing."""
+    """Two files with a header, one without, and one that is missing."""
     pred = t.v_predictions
     out = []
-    for model, header in (("m2", True), ("m3", False)):
+    for model, header in (("m1", True), ("m2", True), ("m3", False)):
         path = shared_folder(t.spark, f"results-{model}")
         rows = pred.filter(F.col("model") == model).select(F.col("id").alias("commit_sha"), "y_true", "y_pred")
         k.save(rows, path, "csv", header=header, sep="\t")

@@ -186,9 +186,17 @@ def q_code_age(t):
 
 VIEWS["v_cwes"] = "SELECT p_partkey AS cve, concat('CWE-', CAST(p_size * 5 + 14 AS VARCHAR(10))) AS cwe FROM {part}"
 
-_CAT_ROWS = ", ".join(
-    f"('{w}', {c}, '{lt.CATEGORY_NAMES[c]}')" for c, ws in lt.CATEGORY_CWES.items() for w in ws.split()
+# The oracle's own list: classes by category, as a second writing of the operator's map.
+_CLASSES = (
+    (1, "119 120 125 190 191 399 400 404 415 416 476 664 763 770 772 787 824 1187"),
+    (2, "20 22 59 74 77 78 89 91 93 94 129 502 707"),
+    (3, "17 193 369 617 674 682 834 835"),
+    (4, "79 92 189 200 203 254 255 264 269 275 276 281 284 285 287 290 310 311 319 320 327 347 358 426 522 538 601 668 732 862 863 922"),
+    (5, "NVD-Other 16 19 134 199 252 295 330 345 346 352 354 388 391 417 427 434 532 534 610 665 704 706 754 755 829 843 918 1021"),
+    (6, "361 362"),
 )
+_NAMES = ("Memory and Resource Management", "Input Validation and Sanitization", "Code Development Quality", "Security Measures", "Others", "Concurrency")
+_CAT_ROWS = ", ".join(f"('{w}', {c}, '{_NAMES[c - 1]}')" for c, listed in _CLASSES for w in listed.split())
 
 
 @query(

@@ -28,7 +28,7 @@ def q_write_readback(t):
     "SELECT id, author, stamp, value FROM {v_incoming} WHERE id NOT IN (SELECT id FROM {v_target})",
 )
 def q_insert_if_absent(t):
-    return k.inserted_if_absent(t.v_target, t.v_incoming, ["id"])
+    return k.inserted_if_absent(t.v_target, t.v_incoming, ["id"], ["stamp"])
 
 
 @query(
@@ -78,12 +78,11 @@ def q_resume_anti(t):
     CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS value FROM events""",
 )
 def q_dead_letter(t):
-    import json
-
     text = F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
-    parse = k.guarded(lambda v: int(json.loads(v)["k"]), "bigint")
-    judged = t.events.select("event_id", parse(text).alias("r"))
-    good, bad = k.split_failures(judged, F.col("r.value"), F.col("r.error"), ["event_id"])
+    parsed = F.try_parse_json(text)
+    value = F.try_variant_get(parsed, "$.k", "bigint")
+    error = F.when(parsed.isNull() & text.isNotNull(), F.lit("not JSON"))
+    good, bad = k.split_failures(t.events.select("event_id", value.alias("v"), error.alias("e")), F.col("v"), F.col("e"), ["event_id"])
     return good.select("event_id", F.lit("ok").alias("outcome"), "value").unionByName(
         bad.select("event_id", F.lit("failed").alias("outcome"), F.lit(None).cast("bigint").alias("value"))
     )

@@ -280,13 +280,14 @@ def q_sha_mapping(t):
 @query(
     "q_merge_maps",
     """SELECT id, value, count(*) AS n_sources FROM (SELECT l_partkey AS id, l_suppkey AS value FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')
-    UNION ALL SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A') GROUP BY 1, 2""",
+    UNION ALL SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N') GROUP BY 1, 2""",
 )
 def q_merge_maps(t):
     src = lambda f: t.lineitem.filter(F.col("l_returnflag") == f).select(
         F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("value")
     ).distinct()
-    return p.merge_maps([src("R"), src("A")])
+    return p.merge_maps([src("R"), src("A"), src("N")])
 
 
 @query(
@@ -352,6 +353,7 @@ FROM {orders} o"""
     """SELECT sha, cve, message FROM {v_mapped_messages} WHERE NOT (regexp_matches(message, '(F|f)ixes(:)?( )?' || cve) OR regexp_matches(message, '(S|s)ecurity(:)?( )' || cve))""",
 )
 def q_manual_review(t):
+    # fixed values: phrases that usual messages hold
     phrases = ["(F|f)ixes(:)?( )?", "(S|s)ecurity(:)?( )", "(B|b)ug-(I|i)(d|)(:)?( )?"]
     return p.unusual_messages(t.v_mapped_messages, phrases)
 

@@ -80,9 +80,18 @@ def q_kruskal(t):
 
 @query("q_permutation")
 def q_permutation(t):
-    cves = _cves(t)
-    top = lt.top_categories(cves, "category", 4).select("category")
-    return st.pairwise_permutation(cves.join(top, "category", "left_semi"), "category", "lifetime", rounds=1000, seed=0)
+    """Every pair of projects at the full number of rounds."""
+    return st.pairwise_permutation(_cves(t), "project", "lifetime", rounds=100_000, seed=0)
+
+
+@query(
+    "q_permutation_difference",
+    """WITH g AS (SELECT project, avg(CAST(lifetime AS DOUBLE)) AS m FROM {o_cve} GROUP BY 1)
+    SELECT a.project AS a, b.project AS b, round(a.m - b.m, 6) AS difference, CAST(10 AS BIGINT) AS rounds FROM g a JOIN g b ON a.project < b.project""",
+)
+def q_permutation_difference(t):
+    out = st.pairwise_permutation(_cves(t), "project", "lifetime", rounds=10, seed=0)
+    return out.select("a", "b", r6("difference", "difference"), "rounds")
 
 
 @query(

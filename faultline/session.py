@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +33,18 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a session without one gets a folder of its own."""
+    """Use the folder the cluster names. Only a session on this machine alone may do without one: it gets a folder of its
+    own, which goes with the process. Elsewhere executors would not share such a folder, so a missing name is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get(CHECKPOINT_KEY, None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="faultline-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get(CHECKPOINT_KEY, None)
+    if shared is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="faultline-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -25,9 +25,13 @@ def saved_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -
     return spark.read.parquet(path)
 
 
-def inserted_if_absent(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key the target lacks, one per key."""
-    return new.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+def inserted_if_absent(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` whose key the target lacks; of several with one key the first by ``order``, then by all columns."""
+    rest = [c for c in new.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order, *rest)) if rest else F.first(F.lit(1))
+    one = new.groupBy(*keys).agg(first.alias("_r"))
+    one = one.select(*keys, "_r.*").select(*new.columns) if rest else one.select(*keys)
+    return one.join(target.select(*keys), list(keys), "left_anti")
 
 
 def upserted(target: DataFrame, changes: DataFrame, keys: Sequence[str], newest: str, ties: Sequence[str] = ()) -> DataFrame:

@@ -49,7 +49,7 @@ def test_query_equals_oracle(spark, sf_dir, con, name):
     assert ordered(df.columns, df.collect()) == ordered(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(MODELS - {"q_ablation", "q_grid"}))
+@pytest.mark.parametrize("name", sorted(MODELS))
 def test_model_queries_give_rows(spark, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir).collect()
     assert rows

@@ -1,15 +1,20 @@
 """Files, table maintenance and the streaming form."""
 
 import datetime
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import dates as dt
 from faultline.functions import text as x
 from faultline.operators import lifetimes as lt
+from faultline.operators import models as mo
 from faultline.operators import statistics as st
-from faultline.session import shared_folder
+from faultline.operators import vocabulary as vo
+from faultline.operators.lookup import skew_lookup
+from faultline.session import ensure_checkpoint_dir, shared_folder
 from faultline.sinks import tables as k
 from faultline.sources import files as s
 from faultline.streaming.incremental import fold_state, start_history_stream
@@ -103,11 +108,63 @@ def test_tokens(spark):
     assert pick(x.format_change(F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>"))) == "added_code:  a b removed_code: "
 
 
-def test_roots_and_categories(spark, rows):
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "node string, parent string")
-    assert {r["root"] for r in lt.roots(edges).collect()} == {"n12"}
-    df = spark.createDataFrame([("CWE-119",), ("CWE-NVD-Other",), ("CWE-9999",)], "cwe string")
-    assert rows(lt.with_category(df, "cwe"), "cwe", "cat") == [("CWE-119", 1), ("CWE-9999", None), ("CWE-NVD-Other", 5)]
+def test_roots_of_deep_trees_and_categories(spark, rows):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)] + [("x", "n00"), ("x", "n39")], "node string, parent string")
+    got = {r["node"]: r["root"] for r in lt.roots(edges).collect()}
+    assert len(got) == 41 and set(got.values()) == {"n40"}
+    with pytest.raises(ValueError):
+        lt.roots(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, parent string"))
+    told = [("a", "p1", "PeerOf", "Primary", 1), ("a", "p2", "ChildOf", "Resultant", 2), ("a", "p3", "ChildOf", "Primary", 3), ("a", "p4", "ChildOf", "Primary", 4)]
+    kept = lt.primary_parents(spark.createDataFrame(told, "node string, parent string, nature string, ordinal string, position int"))
+    assert rows(kept) == [("a", "p3")]
+    df = spark.createDataFrame([("CWE-119",), ("CWE-NVD-Other",), ("CWE-9999",), ("CWE-352",), ("CWE-601",)], "cwe string")
+    assert rows(lt.with_category(df, "cwe"), "cwe", "cat") == [
+        ("CWE-119", 1), ("CWE-352", 5), ("CWE-601", 4), ("CWE-9999", None), ("CWE-NVD-Other", 5)
+    ]
+
+
+def test_histogram_has_an_open_last_bin(spark, rows):
+    df = spark.createDataFrame([(v,) for v in (0, 9, 10, 99, 100, 1001, 9000, None)], "v int")
+    assert sorted(rows(vo.histogram(df, F.col("v"), 10, cap=100))) == [(0, 2), (10, 1), (90, 1), (100, 3)]
+    assert sorted(rows(vo.histogram(df, F.col("v"), 1000))) == [(0, 5), (1000, 1), (9000, 1)]
+
+
+def test_chi_square_tail_does_not_overflow(spark):
+    df = spark.createDataFrame([(3.841459, 1), (5.991465, 2), (18.307038, 10), (0.0, 4), (812.0, 801), (5000.0, 800)], "x double, k int")
+    got = [r[0] for r in df.select(st.chi_square_tail(F.col("x"), F.col("k"))).collect()]
+    assert [round(v, 4) for v in got[:4]] == [0.05, 0.05, 0.05, 1.0] and 0.3 < got[4] < 0.5 and got[5] < 1e-200
+
+
+def test_draws_beyond_the_limit_of_numpy():
+    rng, sizes = np.random.default_rng(1), np.array([4 * 10**9, 10**6, 3, 6 * 10**9], np.int64)
+    drawn = st.drawn_counts(rng, sizes, 2 * 10**9, 400)
+    assert (drawn.sum(1) == 2 * 10**9).all() and (drawn >= 0).all() and (drawn <= sizes).all()
+    assert np.allclose(drawn.mean(0)[[0, 3]], sizes[[0, 3]] / sizes.sum() * 2 * 10**9, rtol=1e-4)
+    small = st.drawn_counts(rng, np.array([5, 7], np.int64), 6, 50)
+    assert (small.sum(1) == 6).all()
+
+
+def test_svm_weights_act_like_the_strength(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + 0.7 * rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, label int")
+    margin = lambda **k: np.array([r["y_pred"] for r in mo.svm_scores(df, df, ["a", "b"], **k).orderBy("a").collect()])
+    ten = margin(weight=F.lit(10.0), c=0.001)
+    assert np.allclose(ten, margin(weight=F.lit(1.0), c=0.01), atol=1e-3)
+    assert not np.allclose(ten, margin(weight=F.lit(1.0), c=0.001), atol=1e-2)
+
+
+def test_logistic_fit_has_no_gradient_left(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = (x @ [1.0, -0.5] + rng.logistic(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "i int, a double, b double, label int")
+    p = np.array([r["y_pred"] for r in mo.logistic_scores(df, df, ["a", "b"], c=2.0).orderBy("i").collect()])
+    z = (x - x.mean(0)) / x.std(0)
+    w, *_ = np.linalg.lstsq(np.c_[z, np.ones(400)], np.log(p / (1 - p)), rcond=None)
+    gradient = np.r_[z.T @ (p - y) * 2.0 + w[:2], (p - y).sum()] / 400
+    assert np.abs(gradient).max() < 1e-3
 
 
 def test_true_lifetime_is_chosen_when_positive(spark):
@@ -166,3 +223,55 @@ def test_stream_restart_and_rerun(spark, rows):
     fold_state(spark, f"{base}/state", f"{base}/folded", 1)
     total = lambda p: spark.read.parquet(p).groupBy("kind").agg(F.sum("n").alias("n"))
     assert rows(total(f"{base}/state")) == rows(total(f"{base}/folded"))
+
+
+def _context(master, named=None, now=None):
+    made = []
+    sc = SimpleNamespace(master=master, getCheckpointDir=lambda: now, setCheckpointDir=made.append)
+    return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: named or default)), made
+
+
+def test_checkpoint_folder_rule():
+    cluster, made = _context("spark://host:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(cluster)
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn", "local[4]"):
+        cluster, made = _context(master, "hdfs://shared/ckpt")
+        ensure_checkpoint_dir(cluster)
+        assert made == ["hdfs://shared/ckpt"]
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(_context("local-cluster[3,2,1024]")[0])
+    alone, made = _context("local[8]")
+    ensure_checkpoint_dir(alone)
+    assert len(made) == 1
+    kept, made = _context("yarn", "hdfs://x", "hdfs://already")
+    ensure_checkpoint_dir(kept)
+    assert made == []
+
+
+def test_lookup_reads_the_facts_once_and_spreads_hot_keys(spark, rows):
+    facts = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 500).cast("int").alias("k"))
+    dim = spark.createDataFrame([(i, f"v{i}", 100 - i) for i in range(450)], "k int, v string, w int")
+    for hot in (0, 1, 20, 1000):
+        got = skew_lookup(facts, dim, "k", "w", hot_rows=hot, always_hot=F.col("k") == 7)
+        assert rows(got) == rows(facts.join(dim, "k", "left").select("id", "k", "v", "w"))
+        inner = skew_lookup(facts, dim, "k", "w", how="inner", hot_rows=hot)
+        assert rows(inner) == rows(facts.join(dim, "k").select("id", "k", "v", "w"))
+    plan = skew_lookup(facts, dim, "k", "w")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 3000") == 1
+
+
+def test_decoding_many_unknown_tokens(spark, rows):
+    """Nine of ten tokens are unknown and the vocabulary has more words than the hot table."""
+    vocab = spark.range(11_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 2).alias("id"), (F.col("id") % 9 + 1).alias("freq"))
+    vocab = vocab.unionByName(spark.createDataFrame([("<NULL>", 0, 0)], "token string, id bigint, freq bigint"))
+    texts = spark.range(60).select("id", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.when(i % 10 == 0, F.concat(F.lit("w"), F.col("id") * 150 + i)).otherwise(F.concat(F.lit("u"), i))).alias("t"))
+    ids = vo.encode_tokens(texts, "id", F.col("t"), vocab)
+    back = {r["id"]: r["tokens"] for r in vo.decode_tokens(ids, "id", F.col("ids"), vocab).collect()}
+    assert all(back[i] == [f"w{i * 150 + j}" if j % 10 == 0 and i * 150 + j < 11_000 else "<NULL>" for j in range(20)] for i in range(60))
+
+
+def test_first_new_row_of_a_key_is_inserted(spark, rows):
+    target = spark.createDataFrame([(1, "x", 9)], "id int, name string, stamp int")
+    new = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (2, "c", 3), (2, "d", 3), (3, None, None)], "id int, name string, stamp int")
+    assert rows(k.inserted_if_absent(target, new, ["id"], ["stamp"])) == [(2, "c", 3), (3, None, None)]
