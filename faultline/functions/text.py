@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 BLANK = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 WORD_OR_SYMBOL = r"[a-zA-Z\p{Nd}'\"#!$\x{80}-\x{2318}`]+|[^\s\x0B\x1c-\x1f\x85\p{Z}]"
 C_DELIMITERS = r"[\s\x0B\x1c-\x1f\x85\p{Z}+\-*/,;><=()\[\]{}]"
+WORD_BREAK = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+|\\t+|\\n+"
 SLICE_BREAK = r"[\s\x0B\x1c-\x1f\x85\p{Z}]+|\\t+|\\n+|->|_"
 LONG_WORD = r"[\p{L}\p{N}_]{2,}"
 SPACED_MARKS = r"([.@\-~%^&*()+={}|\\\[\]:;,<>?/])"
@@ -64,9 +65,10 @@ def long_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LONG_WORD), F.lit(0))
 
 
-def slice_word_count(text: Column) -> Column:
-    """Pieces of a code slice, empty ones counted; a missing side has none."""
-    return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, SLICE_BREAK)))
+def slice_word_count(text: Column, pattern: str = SLICE_BREAK) -> Column:
+    """Pieces of a code slice, empty ones counted; a missing side has none. ``WORD_BREAK`` as the pattern counts as the
+    filter of training rows does."""
+    return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, pattern)))
 
 
 def function_definitions(code: Column) -> Column:

@@ -87,15 +87,17 @@ def file_history(changes: DataFrame) -> DataFrame:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    return F.date_diff(later, earlier)
+    """Days with their fraction."""
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    return (seconds(later) - seconds(earlier)) / 86_400
 
 
 def changes_and_age(history: DataFrame) -> DataFrame:
     """``nuc``: changes to the touched files so far; ``age``: mean days since they were last touched
     (0 for a new file)."""
-    gap = F.greatest(days_between(F.col("commit_date"), F.col("prev_date")), F.lit(0))
+    gap = F.greatest(days_between(F.col("commit_date"), F.col("prev_date")), F.lit(0.0))
     return history.groupBy("commit_id").agg(
-        F.sum("file_changes").alias("nuc"), F.avg(F.coalesce(gap, F.lit(0))).alias("age")
+        F.sum("file_changes").alias("nuc"), F.avg(F.coalesce(gap, F.lit(0.0))).alias("age")
     )
 
 

@@ -200,12 +200,13 @@ def lifetime_quantiles(df: DataFrame, value: str = "lifetime") -> DataFrame:
     )
 
 
-def yearly(df: DataFrame, year: str, value: str, min_rows: int = 20, estimator: str = "mean") -> DataFrame:
-    """Mean or median per year, for years with enough rows."""
-    n = df.groupBy(year).agg(F.count(value).alias("n"), F.avg(value).alias("value"))
-    if estimator == "median":
+def yearly(df: DataFrame, year: str, value: str, min_rows: int = 20, estimator: str | Column = "mean") -> DataFrame:
+    """Mean, median (by name) or any aggregate expression per year, for years with enough rows."""
+    own = F.avg(value) if isinstance(estimator, str) else estimator
+    n = df.groupBy(year).agg(F.count(value).alias("n"), own.alias("value"))
+    if isinstance(estimator, str) and estimator == "median":
         n = n.drop("value").join(exact_quantiles(df, [year], value, {"value": 0.5}), year)
-    elif estimator != "mean":
+    elif isinstance(estimator, str) and estimator != "mean":
         raise ValueError(f"unknown estimator: {estimator}")
     return n.filter(F.col("n") >= min_rows)
 

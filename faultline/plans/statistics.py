@@ -21,6 +21,17 @@ def q_linear_trend(t):
     return out.select(r6("slope", "slope"), F.round("intercept", 4).alias("intercept"), r6("r2", "r2"), "n")
 
 
+@query(
+    "q_trend_of_aggregate",
+    """SELECT round(regr_slope(value, fix_year), 6) AS slope, count(*) AS n FROM (
+      SELECT fix_year, stddev_samp(lifetime) AS value FROM {o_cve} GROUP BY 1 HAVING count(*) >= 20)""",
+)
+def q_trend_of_aggregate(t):
+    """The trend of any aggregate expression, here the deviation."""
+    rows = lt.yearly(_cves(t), "fix_year", "lifetime", 20, F.stddev_samp("lifetime"))
+    return st.linear_trend(rows, "fix_year", "value").select(r6("slope", "slope"), "n")
+
+
 @query(
     "q_range_trend",
     """SELECT range, round(regr_slope(value, fix_year), 6) AS slope, count(*) AS n FROM (
@@ -78,6 +89,19 @@ def q_kruskal(t):
     return st.kruskal(_cves(t), "category", "lifetime").select(r6("h", "h"), "df")
 
 
+@query(
+    "q_kruskal_p",
+    """WITH r AS (SELECT project, lifetime, rank() OVER (ORDER BY lifetime) + (count(*) OVER (PARTITION BY lifetime) - 1) / 2 AS rk FROM {o_cve}),
+    g AS (SELECT project, sum(rk) AS s, CAST(count(*) AS DOUBLE) AS m FROM r GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM r),
+    t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY lifetime)),
+    k AS (SELECT (12 / (n * (n + 1)) * sum(s * s / m) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM g, n, t GROUP BY n, ties)
+    SELECT round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p_value FROM k""",
+)
+def q_kruskal_p(t):
+    """The five projects: four degrees of freedom, whose tail has a closed form for the oracle."""
+    return st.kruskal(_cves(t), "project", "lifetime").select(r6("h", "h"), r6("p_value", "p_value"))
+
+
 @query("q_permutation")
 def q_permutation(t):
     """Every pair of projects at the full number of rounds."""

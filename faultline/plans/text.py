@@ -260,7 +260,7 @@ FROM {documents}"""
 def q_nested_counts(t):
     # one entry per side, as nested slices of one change
     nested = F.filter(F.array("pre", "post"), lambda s: s.isNotNull())
-    words = F.aggregate(F.transform(nested, x.slice_word_count), F.lit(0), lambda a, b: a + b)
+    words = F.aggregate(F.transform(nested, lambda s: x.slice_word_count(s)), F.lit(0), lambda a, b: a + b)
     return t.v_slices.select("id", F.size(nested).alias("n_sides"), words.alias("n_words"))
 
 
@@ -273,6 +273,17 @@ def q_token_freq(t):
     return v.token_frequency(t.v_messages, x.delimiter_tokens(F.col("text")), ["project"])
 
 
+@query(
+    "q_training_words",
+    f"""SELECT id, CAST(coalesce(len(regexp_split_to_array(pre, {_re(x.WORD_BREAK)})), 0) + coalesce(len(regexp_split_to_array(post, {_re(x.WORD_BREAK)})), 0) AS INT) AS n_words
+    FROM {{v_slices}}""",
+)
+def q_training_words(t):
+    """Words of both sides as the filter of training rows counts them."""
+    count = lambda c: x.slice_word_count(F.col(c), x.WORD_BREAK)
+    return t.v_slices.select("id", (count("pre") + count("post")).alias("n_words"))
+
+
 _KW = "(" + ", ".join(f"'{k}'" for k in x.CODE_KEYWORDS) + ")"
 
 
@@ -292,6 +303,16 @@ def q_keyword_counts(t):
     )
 
 
+@query(
+    "q_keyword_counts_all",
+    f"""SELECT commit_id, tok AS keyword, count(*) AS n FROM (
+      SELECT commit_id, unnest(regexp_split_to_array(code, {_re(x.C_DELIMITERS)})) AS tok FROM {{v_lines}}) WHERE tok IN {_KW} GROUP BY 1, 2""",
+)
+def q_keyword_counts_all(t):
+    """Keywords over added and deleted lines together."""
+    return v.keyword_counts(t.v_lines, ["commit_id"], x.delimiter_tokens(F.col("code")), x.CODE_KEYWORDS)
+
+
 WEIGHT_WORDS = ["the", "and", "for", "de", "la", "en", "un", "er", "-", "%", ".", ","]
 
 

@@ -110,3 +110,12 @@ def test_past_authors_exclude_the_commit(spark):
     assert (got[2]["past_authors"], got[2]["author_touches"]) == (1, 0)
     assert (got[3]["past_authors"], got[3]["past_changes"], got[3]["author_touches"]) == (2, 2, 1)
     assert got[3]["author_share"] == pytest.approx(2 / 3)
+
+
+def test_age_counts_parts_of_days(spark):
+    from faultline.operators import history as h
+
+    changes = [("c1", "f", "a", "2020-01-01 06:00:00"), ("c2", "f", "a", "2020-01-02 18:00:00"), ("c2", "g", "a", "2020-01-02 18:00:00")]
+    df = spark.createDataFrame(changes, "commit_id string, path string, author string, d string").selectExpr("commit_id", "path", "author", "to_timestamp(d) AS commit_date")
+    got = {r["commit_id"]: r["age"] for r in h.changes_and_age(h.file_history(df)).collect()}
+    assert got == {"c1": 0.0, "c2": 0.75}
