@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from faultline.plans.registry import TABLES
+from faultline.plans import load_all
+from faultline.plans.registry import QUERIES, TABLES, oracles
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
+ORACLES = oracles()
 MODELS = {"q_ablation", "q_grid", "q_cv_auc", "q_svm_scores", "q_svm_weighted", "q_rf_scores", "q_lr_scores", "q_la_scores", "q_permutation"}
 
 
@@ -39,6 +41,7 @@ def con(sf_dir):
 
 def test_only_models_lack_an_oracle():
     assert set(QUERIES) - set(ORACLES) == MODELS
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
