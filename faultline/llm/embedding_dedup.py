@@ -85,34 +85,92 @@ def _least_labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = spread
 
 
+_FOUND = ("rep", "links", "label")
+SMALL = 48  # blocks up to this size are compared together, by lists of index pairs
+
+
+def _pairs_of_small(start: np.ndarray, size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j inside each run; in a run of two blocks only pairs across the sides."""
+    i, j = [], []
+    for n in np.unique(size):
+        a, b = np.triu_indices(n, 1)
+        of = start[size == n][:, None]
+        i.append((of + a).ravel())
+        j.append((of + b).ravel())
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
+    two = np.zeros(len(side), bool)  # rows of runs that hold both sides
+    for s, n in zip(start, size):
+        two[s : s + n] = side[s] != side[s + n - 1]
+    keep = ~two[i] | (side[i] != side[j])
+    return i[keep], j[keep]
+
+
 def _compared(cosine: float):
+    """Blocks of many buckets at once: links per vector counted in their first table, and one label per vector."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
-        t = table["t"][0].as_py()
-        ids, n, side = (table[c].to_numpy() for c in ("rep", "n", "side"))
-        x = _matrix(table["vector"].to_pylist())
-        codes = table["codes"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        rows, totals, labels = [], [], []
-        half = int(np.searchsorted(side, 1))
-        left, right = np.arange(half), np.arange(half, len(ids)) if half < len(ids) else np.arange(half)
-        same = half == len(ids)  # one block against itself
-        close = x[left] @ x[right].T >= cosine
-        if same:
-            np.fill_diagonal(close, False)
-        i, j = np.nonzero(close)
-        if not len(i):
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
-        fresh = ~(codes[left[i], :t] == codes[right[j], :t]).any(1)
-        total = np.zeros(len(ids), np.int64)
-        np.add.at(total, left[i[fresh]], n[right[j[fresh]]])
-        if not same:
-            np.add.at(total, right[j[fresh]], n[left[i[fresh]]])
-        whole = np.zeros((len(ids), len(ids)), bool)
-        whole[left[i], right[j]] = True
-        whole[right[j], left[i]] = True
-        label = _least_labels(whole, ids)
-        keep = whole.any(1)
-        return pa.table({"rep": pa.array(ids[keep]), "links": pa.array(total[keep]), "label": pa.array(label[keep])})
+        keys = ["t", "width", "code", "low", "high"]
+        table = table.sort_by([(c, "ascending") for c in [*keys, "side", "rep"]])
+        cols = {c: table[c].to_numpy() for c in [*keys, "side", "rep", "n"]}
+        ids, n, side, t = cols["rep"], cols["n"], cols["side"], cols["t"]
+        new = np.zeros(len(ids), bool)
+        new[:1] = True
+        for c in keys:
+            new[1:] |= cols[c][1:] != cols[c][:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(ids)))
+        cells, codes = table["vector"].to_pylist(), table["codes"].combine_chunks()
+        total, label = np.zeros(len(ids), np.int64), ids.copy()
+        flat, at = codes.flatten().to_numpy(), np.append(0, np.cumsum(codes.value_lengths().to_numpy()))
+
+        def counted(i: np.ndarray, j: np.ndarray, first: int, last: int) -> None:
+            own = flat[at[first] : at[last]].reshape(last - first, -1)
+            earlier = np.arange(own.shape[1]) < t[i][:, None] if len(i) else np.zeros((0, own.shape[1]), bool)
+            fresh = ~((own[i - first] == own[j - first]) & earlier).any(1)
+            np.add.at(total, i[fresh], n[j[fresh]])
+            np.add.at(total, j[fresh], n[i[fresh]])
+
+        for width in np.unique(cols["width"]):  # sorted by t first: look at runs of one width at a time
+            few = np.flatnonzero((size <= SMALL) & (cols["width"][start] == width))
+            for part in np.array_split(few, max(1, len(few) // 2000)):
+                if not len(part):
+                    continue
+                rows = np.concatenate([np.arange(s, s + k) for s, k in zip(start[part], size[part])])
+                x = _matrix([cells[r] for r in rows])
+                begin = np.cumsum(size[part]) - size[part]
+                i, j = _pairs_of_small(begin, size[part], side[rows])
+                close = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+                i, j = i[close], j[close]
+                own = np.stack([flat[at[r] : at[r + 1]] for r in rows])
+                earlier = np.arange(own.shape[1])[None, :] < t[rows[i]][:, None]
+                fresh = ~((own[i] == own[j]) & earlier).any(1)
+                np.add.at(total, rows[i[fresh]], n[rows[j[fresh]]])
+                np.add.at(total, rows[j[fresh]], n[rows[i[fresh]]])
+                own_label = ids[rows].copy()
+                while len(i):
+                    before = own_label.copy()
+                    low = np.minimum(own_label[i], own_label[j])
+                    np.minimum.at(own_label, i, low)
+                    np.minimum.at(own_label, j, low)
+                    if (before == own_label).all():
+                        break
+                label[rows] = own_label
+        for s, k in zip(start[size > SMALL], size[size > SMALL]):
+            x = _matrix(cells[s : s + k])
+            half = int(np.searchsorted(side[s : s + k], 1))
+            one = half in (0, k)  # a block against itself
+            left, right = np.arange(k if one else half), np.arange(0 if one else half, k)
+            close = x[left] @ x[right].T >= cosine
+            if one:
+                np.fill_diagonal(close, False)
+            whole = np.zeros((k, k), bool)
+            whole[np.ix_(left, right)] = close
+            whole |= whole.T
+            i, j = np.nonzero(np.triu(whole, 1))
+            counted(s + i, s + j, s, s + k)
+            label[s : s + k] = _least_labels(whole, ids[s : s + k])
+        keep = (total > 0) | (label != ids)
+        return pa.table([pa.array(ids[keep]), pa.array(total[keep]), pa.array(label[keep])], _FOUND)
 
     return run
 
@@ -160,8 +218,11 @@ def near_duplicates(
     met = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "t", "code", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), (F.col("p") > F.col("q")).cast("int").alias("side"), "rep",
     ).join(signed, "rep")
+    # blocks of many buckets in one call; the rows of a call are bounded by what a few blocks hold
+    calls = max(1, math.ceil(keyed.count() / 20_000))
+    call = F.pmod(F.xxhash64(*bucket, "low", "high"), F.lit(calls)).cast("int")
     found = stored(
-        met.groupBy(*bucket, "low", "high").applyInArrow(_compared(cosine), "rep long, links long, label long"), "found"
+        met.withColumn("call", call).groupBy("call").applyInArrow(_compared(cosine), "rep long, links long, label long"), "found"
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("rep", "label").distinct(), "rep", "label")

@@ -232,7 +232,7 @@ def dedup_lines(
     hot = np.array([r["hi"] for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_owner = hot[order], np.array([r["first"] for r in frequent], np.int64)[order]
-    signed = F.expr(f"cast(hi as decimal(20,0)) + if(hi < 0, 18446744073709551616, 0)")  # as unsigned
+    signed = F.expr("cast(hi as decimal(20,0)) + if(hi < 0, 18446744073709551616, 0)")  # as unsigned
     arrays = (
         keys.withColumn("shard", F.pmod(signed, F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_built, _ARRAYS)
     )

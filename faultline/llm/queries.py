@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, pitman_yor, quality, rtree_join, sharding, url_reputation
-from faultline.llm.storage import send_package
+from faultline.llm.storage import send_package, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +33,19 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-def damaged(records: DataFrame, pages: DataFrame) -> DataFrame:
+def damaged(records: DataFrame) -> DataFrame:
     """A second replica of the archives with damage that follows from the ids: every 101st record has other bytes of the
     same length, every 211th is lost (what follows in its file moves up)."""
     flipped = records.withColumn(
         "digest", F.when(F.col("record_id") % 101 == 7, F.sha2(F.concat(F.lit("x"), "digest"), 256)).otherwise(F.col("digest"))
     ).filter(F.coalesce(F.col("record_id") % 211 != 13, F.lit(True)))
-    ahead = fixity.Window.partitionBy("file").orderBy(F.col("offset")).rowsBetween(fixity.Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("file").orderBy(F.col("offset")).rowsBetween(Window.unboundedPreceding, -1)
     return flipped.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long"))
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    records = fixity.stored(fixity.record_table(pages), "records")
-    found = fixity.audit(records, damaged(records, pages))
+    records = stored(fixity.record_table(_table(spark, sf_dir, "pages")), "records")
+    found = fixity.audit(records, damaged(records))
     return found.select(F.col("record_id").alias("page_id"), "file", "fault", F.col("offset").cast("long").alias("offset"))
 
 

@@ -41,8 +41,8 @@ def external_shuffle(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     The order depends on the records, ``seed`` and ``bucket_bytes`` only. Rows equal in id and text are interchangeable.
     Null ids are scattered by text.
     """
-    mark = F.coalesce(F.xxhash64(F.lit(seed), F.col(id_col)) if id_col in docs.columns else None, F.lit(0).cast("long"))
-    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text_col))).otherwise(mark)
+    own = F.xxhash64(F.lit(seed), F.col(id_col))
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text_col))).otherwise(own)
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     marked = docs.select(
