@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. The items' word n-grams are counted over all documents (documents that hold each). In every run of ``window``
-   consecutive n-grams of an item the rarest one becomes a seed, so seeds cover the whole item and common phrases are
-   used only where nothing rarer is near. The choice uses counts alone; a passage copied into a third of all documents
-   keeps its seeds.
+1. Every word n-gram of an item is a seed. Choosing the rarest of neighbouring ones would lose copies: an n-gram that one
+   document's edits left whole may be rarer in the corpus than all that another document's edits left.
 2. Documents look their n-grams up among the seeds. Each hit proposes the stretch of the document where the item would
    lie; overlapping stretches of one item are merged.
-3. Each stretch is aligned with the item by Smith-Waterman (match 1, mismatch and gap -1 by default). The score divided
-   by the item's words is the similarity.
+3. A stretch whose words in common with the item are too few for the limit is passed over (a score cannot exceed the
+   matches), which is what common phrases come to. The others are aligned with the item by Smith-Waterman (match 1,
+   mismatch and gap -1 by default). The score divided by the item's words is the similarity.
 
 The test set is a table of its own and not part of the corpus. Up to ``most_words`` words of it are given to every task;
 a larger one is worked through in slices of that size, each by the same plan.
@@ -48,18 +47,6 @@ class Items:
         self.pos = np.concatenate(pos) if pos else np.zeros(0, np.int64)
         self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
 
-    def pick(self, counts: dict[int, int], window: int) -> None:
-        """Keep the rarest n-gram of every window (ties: the first)."""
-        n = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        keep = np.zeros(len(n), bool)
-        for i in range(len(self.words)):
-            mine = np.flatnonzero(self.own == i)
-            for a in range(max(1, len(mine) - window + 1)):
-                part = mine[a : a + window]
-                if len(part):
-                    keep[part[np.argmin(n[part])]] = True
-        self.gram, self.own, self.pos = self.gram[keep], self.own[keep], self.pos[keep]
-
     def index(self) -> None:
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.own, self.pos = self.gram[order], self.own[order], self.pos[order]
@@ -102,31 +89,14 @@ def smith_waterman(x: np.ndarray, y: np.ndarray, match: int = 1, mismatch: int =
     return best, *span
 
 
-def _gram_counts(ids: list[int], texts: list[str | None], n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts, n)
-        items.index()
-        total: dict[int, int] = {}
-        for batch in batches:
-            for part in tx.chunks(batch, "text"):
-                t = tx.tokens(part.column("text"))
-                for size in items.sizes:
-                    h, at = tx.ngram_hashes(t.row, t.hash, size)
-                    i, _ = items.hits(h)
-                    i = np.unique(i)
-                    rows = t.row[at[i]]
-                    pair = np.unique(np.stack([rows.astype(np.int64), h[i].view(np.int64)]), axis=1)[1]
-                    for g, c in zip(*np.unique(pair, return_counts=True)):
-                        total[int(g)] = total.get(int(g), 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
-
-    return run
+def most_matches(x: np.ndarray, y: np.ndarray) -> int:
+    """At least as many as the words that any alignment of ``x`` and ``y`` matches."""
+    return int(min(np.isin(x, y).sum(), np.isin(y, x).sum()))
 
 
-def _aligned(ids: list[int], texts: list[str | None], n: int, window: int, counts: dict[int, int], limit: float, costs: tuple):
+def _aligned(ids: list[int], texts: list[str | None], n: int, limit: float, costs: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts, n)
-        items.pick(counts, window)
         items.index()
         for batch in batches:
             for part in tx.chunks(batch, "text"):
@@ -154,6 +124,8 @@ def _aligned(ids: list[int], texts: list[str | None], n: int, window: int, count
                         k += 1
                     if high - low < limit * length[item]:
                         continue
+                    if most_matches(items.words[item], t.hash[low:high]) < limit * length[item]:
+                        continue
                     best, x, y = smith_waterman(items.words[item], t.hash[low:high], *costs)
                     score = best / (costs[0] * length[item])
                     if score >= limit and score > out.get((row, item), (0.0,))[0]:
@@ -172,13 +144,14 @@ def _aligned(ids: list[int], texts: list[str | None], n: int, window: int, count
 
 def leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-    item_text: str = "text", n: int = 3, window: int = 4, limit: float = 0.4, costs: tuple[int, int, int] = (1, -1, -1),
+    item_text: str = "text", n: int = 3, limit: float = 0.4, costs: tuple[int, int, int] = (1, -1, -1),
     most_words: int = 1_000_000,
 ) -> DataFrame:
     """Documents that hold a test item, copied or edited: ``id_col``, ``item_id``, ``score``, ``first_word``,
     ``last_word`` (the stretch of the document's words, half open), best stretch per row and item.
 
-    ``score`` is the Smith-Waterman score over the item's words, 1 for a full copy; pairs from ``limit`` on are given.
+    ``score`` is the Smith-Waterman score over the item's words, 1 for a full copy; pairs from ``limit`` on that share a
+    run of ``n`` words are given.
 
     Defined cases: null or empty texts and items hold nothing. Items shorter than ``n`` words are sought whole. Rows that
     repeat give a row each. Rows with a null id are judged too (null id in the result). Items with a null id are left
@@ -195,9 +168,7 @@ def leaks(
     for k in range(slices):
         own = sized.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).orderBy("i", "x").collect()
         ids, texts = [r["i"] for r in own], [r["x"] for r in own]
-        counted = base.mapInArrow(_gram_counts(ids, texts, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        counts = {r["g"]: r["n"] for r in counted.collect()}  # n-grams of this slice of the test set only
-        found = base.mapInArrow(_aligned(ids, texts, n, window, counts, limit, costs), _OUT)
+        found = base.mapInArrow(_aligned(ids, texts, n, limit, costs), _OUT)
         out = found if out is None else out.unionByName(found)
     return stored(out, "leaks").withColumnRenamed("row_key", id_col)
 

@@ -75,6 +75,24 @@ def test_leaks_copied_and_edited(make_docs, spark, leaked, messy_rows):
     assert decontaminate.leaks(frame, table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("step", [4, 5, 6])
+def test_leaks_of_edited_copies_alone(make_docs, spark, step):
+    """No exact copy in the corpus, and copies whose edits leave different n-grams with different counts."""
+    rng = random.Random(step)
+    items = {i: words(rng, rng.randrange(15, 60)) for i in range(10)}
+    docs, want = [], set()
+    for i, item in items.items():
+        for start in range(step - 1 if i % 2 else 1):
+            for _ in range(start + 1):
+                text = list(item)
+                text[start::step] = [f"x{rng.randrange(10**6)}" for _ in text[start::step]]
+                if plain_alignment(np.array(item), np.array(text)) >= 0.4 * len(item):
+                    want.add((len(docs), i))
+                docs.append((len(docs), " ".join(words(rng, 40) + text + words(rng, 20))))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert len(want) > 15 and {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(docs), table).collect()} == want
+
+
 def test_short_items_are_sought_whole(make_docs, spark):
     table = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "item_id long, text string")
     got = decontaminate.leaks(make_docs([(1, "x alpha beta y"), (2, "beta alpha"), (3, "GAMMA")]), table, limit=0.9).collect()
