@@ -104,8 +104,8 @@ def q_kruskal_p(t):
 
 @query("q_permutation")
 def q_permutation(t):
-    """Every pair of projects at the full number of rounds."""
-    return st.pairwise_permutation(_cves(t), "project", "lifetime", rounds=100_000, seed=0)
+    """Every pair of weakness categories at the full number of rounds."""
+    return st.pairwise_permutation(_cves(t), "category", "lifetime", rounds=100_000, seed=0)
 
 
 @query(

@@ -197,6 +197,24 @@ def test_permutation_agrees_with_plain_shuffling(spark):
     assert got["p_value"] == pytest.approx(sum(hits) / len(hits), abs=0.03)
 
 
+def test_permutation_query_compares_every_pair_of_categories(spark, sf_dir, monkeypatch):
+    from faultline.plans import load_all, statistics as plans
+    from faultline.plans.registry import QUERIES
+
+    load_all()
+    real, asked = st.pairwise_permutation, []
+
+    def few(df, group, value, rounds, seed):
+        asked.append((rounds, {r[0] for r in df.select("category").distinct().collect()}))
+        return real(df, group, value, rounds=2, seed=seed)
+
+    monkeypatch.setattr(plans.st, "pairwise_permutation", few)
+    got = {(r["a"], r["b"]) for r in QUERIES["q_permutation"](spark, sf_dir).collect()}
+    [(rounds, names)] = asked
+    assert rounds == 100_000 and len(names) > 5
+    assert got == {(a, b) for a in names for b in names if a < b}
+
+
 def test_kruskal_and_tail(spark):
     df = spark.createDataFrame([(5.991464547, 2), (7.814727903, 3), (0.0, 1)], "x double, k int")
     assert [r[0] for r in df.select(st.chi_square_tail("x", "k")).collect()] == pytest.approx([0.05, 0.05, 1.0], abs=1e-6)
