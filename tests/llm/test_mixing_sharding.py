@@ -112,6 +112,28 @@ def test_order_is_random_and_depends_on_the_seed(spark):
     assert sum((counts[a, b] - 62.5) ** 2 / 62.5 for a in range(8) for b in range(8)) < 120
 
 
+@pytest.mark.parametrize("same_text", [True, False])
+def test_repeats_scatter_like_other_records(spark, same_text):
+    """An id with a third of all rows, a text with null id likewise, and pairs of copies."""
+    text = "'t'" if same_text else "concat('t ', id)"
+    many = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 2 THEN 100 + id DIV 6 END AS doc_id",
+        f"CASE WHEN id % 3 = 2 THEN concat('own ', id DIV 6) ELSE {text} END AS text", "id AS nr")
+    rows = sharding.external_shuffle(many, bucket_bytes=4_000).select("rec.*", "place").collect()
+    assert sorted(r.nr for r in rows) == list(range(3000)) and sorted(r.place for r in rows) == list(range(3000))
+    for of in (7, None):
+        tenths = Counter(r.place * 10 // 3000 for r in rows if r.doc_id == of)  # 100 each
+        assert sum((tenths[k] - 100) ** 2 / 100 for k in range(10)) < 40
+    pairs = defaultdict(list)
+    for r in rows:
+        if r.doc_id is not None and r.doc_id >= 100:
+            pairs[r.doc_id].append(r.place)
+    apart = [abs(p[0] - p[1]) for p in pairs.values() if len(p) == 2]
+    assert len(apart) > 400 and 850 < sum(apart) / len(apart) < 1150  # a third of 3000
+    again = sharding.external_shuffle(many.repartition(7), bucket_bytes=4_000).select("rec.*", "place").collect()
+    assert Counter((r.doc_id, r.text, r.place) for r in again) == Counter((r.doc_id, r.text, r.place) for r in rows)
+
+
 def test_written_shards_are_in_order(spark, make_docs, messy_rows, tmp_path):
     out = sharding.shuffle_into_shards(make_docs(messy_rows), 3)
     sharding.write_shards(out, str(tmp_path / "s"))
