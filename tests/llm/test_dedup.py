@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import embedding_dedup, line_dedup, rtree_join
@@ -148,6 +149,14 @@ def test_point_bound_is_never_below_the_overlap():
             assert bound >= len(np.intersect1d(x, y))
 
 
+def test_box_counts_of_very_long_texts_are_whole():
+    """A sum of saturated counts would be below the overlap of equal sets."""
+    text = " ".join(map(str, range(1_300_000)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    [got] = rtree_join._sets_of(1)(iter([batch]))
+    assert sum(got["coarse"][0].as_py()) == got["n"][0].as_py() == 1_300_000
+
+
 def vectors(seed=4, dim=16):
     rng = np.random.default_rng(seed)
     out, n = [], 0
