@@ -136,6 +136,41 @@ def test_jaccard_join_finds_all_links_of_families(make_docs, rows):
         assert rows(rtree_join.jaccard_components(make_docs(data), often=often)) == want
 
 
+def test_links_inside_families_are_all_given(make_docs):
+    """Edited copies that all link through a centre, one family larger than a leaf, equal sets, odd rows."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    data = [(9000, None), (9001, ""), (None, "w1 w2 w3 w4 w5 w6")]
+    for family in range(5):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 90]))]
+        for _ in range(80 if family == 3 else 8):
+            text = list(base)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            data += [(len(data), " ".join(text))] * rng.choice([1, 1, 2])
+    own = [(i, s) for i, t in data if i is not None and (s := shingles(t or ""))]
+    want, within = Counter(), 0
+    for k, (i, x) in enumerate(own):
+        for j, y in own[:k]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                within += x == y
+                if x != y:
+                    want[min(i, j), max(i, j)] += 1
+    for options in ({}, {"often": 4, "bucket_entries": 500}):
+        links, members = rtree_join.jaccard_links(make_docs(data), **options)
+        of = defaultdict(list)
+        for r in members.collect():
+            of[r.set].append(r.doc_id)
+        got = Counter()
+        for r in links.collect():
+            assert (len(of[r.a]), len(of[r.b]), min(of[r.a]), min(of[r.b])) == (r.copies_a, r.copies_b, r.rep_a, r.rep_b)
+            got.update((min(i, j), max(i, j)) for i in of[r.a] for j in of[r.b])
+        assert got == want
+        assert rtree_join.link_count(links, members).first().n_links == sum(want.values()) + within
+    links, members = rtree_join.jaccard_links(make_docs([]))
+    assert rtree_join.link_count(links, members).first().n_links == 0
+
+
 def test_jaccard_join_of_nothing(make_docs):
     assert rtree_join.jaccard_components(make_docs([])).collect() == []
 
