@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faultline.llm.sharding import numbered
 from faultline.llm.storage import stored
 
 CRLF = "\r\n"
@@ -23,15 +24,30 @@ def warc_record(url: Column, payload: Column) -> Column:
     )
 
 
+def null_id_files(pages: DataFrame, id_col: str = "page_id", per_file: int = 1000) -> int:
+    """How many archives the records with a null id need."""
+    return max(1, -(-pages.filter(F.col(id_col).isNull()).count() // per_file))
+
+
 def record_table(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = 1000
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = 1000,
+    null_files: int | None = None,
 ) -> DataFrame:
     """The records of archives with ``per_file`` ids each: ``file``, ``record_id``, ``offset``, ``length``, ``digest``.
-    Records stand in order of id; a null id goes to file -1. Repeated rows are records of their own."""
-    record = warc_record(F.col(url_col), F.col(html_col))
-    rows = pages.select(
-        F.coalesce(F.floor(F.col(id_col) / per_file), F.lit(-1)).cast("long").alias("file"), F.col(id_col).alias("record_id"),
-        F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+    Records stand in order of id. Null ids go to ``null_files`` files below 0 (as many as ``null_id_files`` says by
+    default; replicas that are compared need the same number) by a hash of their content, equal ones in blocks of
+    ``per_file``. Repeated rows are records of their own."""
+    files = null_id_files(pages, id_col, per_file) if null_files is None else null_files
+    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    content = F.xxhash64(F.col("url").isNull(), "url", F.col("html").isNull(), "html")
+    loose = numbered(slim.filter("id is null").select(content.alias("key"), F.struct("id", "url", "html").alias("rec")))
+    block = F.xxhash64("key", F.floor(F.col("nth") / per_file))
+    placed = slim.filter("id is not null").select(F.floor(F.col("id") / per_file).cast("long").alias("file"), "id", "url", "html").unionByName(
+        loose.select((-1 - F.pmod(block, F.lit(files))).cast("long").alias("file"), "rec.id", "rec.url", "rec.html")
+    )
+    record = warc_record(F.col("url"), F.col("html"))
+    rows = placed.select(
+        "file", F.col("id").alias("record_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
     )
     # an archive file holds per_file ids, so the window is bounded by the format
     ahead = Window.partitionBy("file").orderBy(F.col("record_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, pitman_yor, quality, rtree_join, sharding, url_reputation
 from faultline.llm.storage import send_package, stored
@@ -33,19 +33,32 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A second replica of the archives with damage that follows from the ids: every 101st record has other bytes of the
-    same length, every 211th is lost (what follows in its file moves up)."""
-    flipped = records.withColumn(
-        "digest", F.when(F.col("record_id") % 101 == 7, F.sha2(F.concat(F.lit("x"), "digest"), 256)).otherwise(F.col("digest"))
-    ).filter(F.coalesce(F.col("record_id") % 211 != 13, F.lit(True)))
-    ahead = Window.partitionBy("file").orderBy(F.col("offset")).rowsBetween(Window.unboundedPreceding, -1)
-    return flipped.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long"))
+def _other_bytes(text: Column) -> Column:
+    """``text`` with other bytes in place of its first character, as many."""
+    first = F.substring(text, 1, 1)
+    other = F.when(first == "x", F.lit("y")).otherwise(F.lit("x"))
+    return F.concat(F.repeat(other, F.octet_length(first)), F.substring(text, 2, 2**31 - 1))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """The pages of a second replica with damage that follows from the ids: every 101st has other bytes of the same length
+    in its payload (without one in its address, without either a byte too many), every 211th is lost (what follows in its
+    file moves up)."""
+    hit = F.coalesce(F.col("page_id") % 101 == 7, F.lit(False))
+    html, url = F.coalesce(F.octet_length("html"), F.lit(0)) > 0, F.coalesce(F.octet_length("url"), F.lit(0)) > 0
+    return pages.filter(F.coalesce(F.col("page_id") % 211 != 13, F.lit(True))).select(
+        "page_id",
+        F.when(hit & ~html & url, _other_bytes(F.col("url"))).otherwise(F.col("url")).alias("url"),
+        F.when(hit & html, _other_bytes(F.col("html"))).when(hit & ~url, F.lit("x")).otherwise(F.col("html")).alias("html"),
+    )
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = stored(fixity.record_table(_table(spark, sf_dir, "pages")), "records")
-    found = fixity.audit(records, damaged(records))
+    pages = _table(spark, sf_dir, "pages")
+    files = fixity.null_id_files(pages)
+    left = stored(fixity.record_table(pages, null_files=files), "records")
+    right = stored(fixity.record_table(damaged(pages), null_files=files), "replica")
+    found = fixity.audit(left, right)
     return found.select(F.col("record_id").alias("page_id"), "file", "fault", F.col("offset").cast("long").alias("offset"))
 
 

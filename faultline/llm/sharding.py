@@ -66,7 +66,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "task", "nth"])
 
 
-def _numbered(marked: DataFrame) -> DataFrame:
+def numbered(marked: DataFrame) -> DataFrame:
     """``marked`` with ``nth``: 0, 1, ... among the rows of a key.
 
     Only rows of keys that repeat are written and joined. A task counts its own rows of a key; what earlier tasks hold of
@@ -98,7 +98,7 @@ def external_shuffle(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
-    rows = _numbered(docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")))
+    rows = numbered(docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")))
     tie = F.xxhash64(F.lit(seed), "key", "nth")
     marked = rows.select(F.pmod(tie, F.lit(buckets)).alias("bucket"), tie.alias("tie"), F.col("key").alias("tie2"), "rec")
     counts = rows.select(F.pmod(tie, F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

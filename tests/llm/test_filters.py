@@ -168,6 +168,25 @@ def test_fixity_locates_damage(spark):
     assert fixity.audit(records, none).count() == 703
 
 
+def test_second_replica_differs_in_bytes(spark):
+    rows = [(7, "u", "<p>"), (108, "u", "éa"), (209, "u", "x"), (310, "u", ""), (411, "", None), (13, "u", "gone"), (8, "u", "kept")]
+    other = {r.page_id: (r.url, r.html) for r in queries.damaged(pages_of(spark, rows)).collect()}
+    assert set(other) == {i for i, _, _ in rows} - {13} and other[8] == ("u", "kept")
+    for i, u, h in rows[:4]:
+        assert other[i] != (u, h) and [len(t.encode()) for t in other[i]] == [len(u.encode()), len(h.encode())]
+    assert other[411] == ("", "x")
+
+
+def test_null_ids_get_files_of_bounded_size(spark):
+    rows = [(None, "u", "same")] * 400 + [(None, "u", f"own {i}") for i in range(400)] + [(i, "u", "h") for i in range(50)]
+    records = fixity.record_table(pages_of(spark, rows), per_file=20)
+    assert records.count() == len(rows)
+    sizes = [r["count"] for r in records.filter("record_id is null").groupBy("file").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 160
+    again = fixity.record_table(pages_of(spark, rows[::-1]).repartition(5), per_file=20)
+    assert sorted(records.collect(), key=repr) == sorted(again.collect(), key=repr)
+
+
 def test_only_differing_ranges_are_opened(spark):
     rows = [(i, f"http://h/{i}", "x" * 300) for i in range(500)]
     records = fixity.record_table(pages_of(spark, rows), per_file=500)
