@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from importlib import import_module
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from faultline.llm import decontaminate, embedding_dedup, fixity, line_dedup, mixing, pitman_yor, quality, rtree_join, sharding, url_reputation
+from faultline.llm import alignment, decontaminate, embedding_dedup, fixity, line_dedup, mixing, periodic_runs, pitman_yor, quality, rtree_join
+from faultline.llm import sharding, token_files, url_reputation
 from faultline.llm.storage import send_package, stored
 
 
@@ -88,6 +91,51 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end=2)
+    return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = [c for c in aligned.columns if c != "groups"]
+    out = alignment.scored(stored(aligned.select(*kept, digest), "aligned"), alignment.pair_bits(a, b))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which word stands at each place of a document: those of every tenth document repeat from some place on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a, i = g % n, np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=repeated_words)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n")))
+    out = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return out.select(
+        "doc_id", "n_runs", (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"), F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
 _STRIP = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
