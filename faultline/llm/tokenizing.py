@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
-MOST_PIECES = 400_000
+MOST_PIECES = 500_000
+JOINED = 512  # new pieces given to the library in one text
 
 _BYTE_PIECES = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Code points that some library or other takes for white space or for nothing, without space and \t to \r.
@@ -24,8 +27,13 @@ _SENTENCE_PIECES = re.compile("\n[^ \n]*| +[^ \n]*")
 _BYTE_PIECE = re.compile("<0x[0-9A-F]{2}>")
 
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
 def _packed(ids: Iterable[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    out = array("I", ids)
+    return out.tobytes() if sys.byteorder == "little" else np.array(out, "<u4").tobytes()
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -39,24 +47,38 @@ def _byte_alphabet() -> dict[str, int]:
 class _Pieces:
     """Ids by piece, as little-endian unsigned 32-bit numbers, and how to cut texts."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         self.known: dict[str, bytes] = {}
+        self.most = most
+
+    def describe(self, entries: list[bytes]) -> None:
+        """Bytes that each id stands for."""
+        self.lengths = np.array([len(b) for b in entries])
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(entries), np.uint8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > self.most:
             self.known.clear()
         new = set().union(*[c for c in cut if c is not None]).difference(self.known)
-        self.learn(sorted(new))
+        if new:
+            self.learn(list(new))
         get = self.known.__getitem__
         return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all ids, one after the other."""
+        size = self.lengths[ids]
+        ends = np.cumsum(size)
+        return self.blob[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.places[ids] - ends + size, size)]
+
 
 class ByteLevel(_Pieces):
     """A byte-level vocabulary of the tokenizers library; strings of special tokens are plain text."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, most: int):
+        super().__init__(most)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,7 +88,7 @@ class ByteLevel(_Pieces):
         alphabet = _byte_alphabet()
         entries = [self.model.id_to_token(i) or "" for i in range(size)]
         special = set(self.model.get_added_tokens_decoder())
-        self.bytes = [e.encode() if i in special else bytes(alphabet[c] for c in e) for i, e in enumerate(entries)]
+        self.describe([e.encode() if i in special else bytes(alphabet[c] for c in e) for i, e in enumerate(entries)])
 
     def cut(self, text: str) -> list[str] | None:
         if not text.isascii() and _UNUSUAL.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -74,8 +96,30 @@ class ByteLevel(_Pieces):
         return _BYTE_PIECES.findall(text)
 
     def learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.model.encode_batch_fast(pieces, add_special_tokens=False)):
+        """Marks behind a letter or digit are tokens of their own, so words with and without them are encoded once. Pieces
+        that begin with white space and end without stand one after the other in one text for the library; the lengths
+        of the tokens tell them apart."""
+        parts = {}
+        for p in pieces:
+            core = p.rstrip(_MARKS)
+            if len(core) < len(p) and core[-1:] in _PLAIN:
+                parts[p] = core, p[len(core) :]
+        wanted = set(pieces).difference(parts).union(*parts.values()).difference(self.known)
+        chained = [p for p in wanted if p[0] in " \t\n\r\x0b\x0c" and p[-1] not in " \t\n\r\x0b\x0c"]
+        alone = wanted.difference(chained)
+        joined = [chained[i : i + JOINED] for i in range(0, len(chained), JOINED)]
+        for own, e in zip(joined, self.model.encode_batch_fast(["".join(x) for x in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in own])
+            cut = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right")).tolist()
+            data, i = ids.tobytes(), 0
+            for p, j in zip(own, cut):
+                self.known[p] = data[i:j]
+                i = j
+        for p, e in zip(alone, self.model.encode_batch_fast(list(alone), add_special_tokens=False)):
             self.known[p] = _packed(e.ids)
+        for p, (core, marks) in parts.items():
+            self.known[p] = self.known[core] + self.known[marks]
 
     def whole(self, text: str) -> bytes:
         return _packed(self.model.encode(text, add_special_tokens=False).ids)
@@ -84,13 +128,13 @@ class ByteLevel(_Pieces):
 class SentencePieces(_Pieces):
     """A sentence-piece model that puts a space before the text. ``cut`` takes the text with that space."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, most: int):
+        super().__init__(most)
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(n[3:5], 16)]) if _BYTE_PIECE.fullmatch(n) else n.replace("▁", " ").encode() for n in names]
+        self.describe([bytes([int(n[3:5], 16)]) if _BYTE_PIECE.fullmatch(n) else n.replace("▁", " ").encode() for n in names])
         self.apart = not any("▁" in n.lstrip("▁") or "\n" in n for n in names)
         self.space = self.model.piece_to_id("▁")
         self.apart &= _packed(self.model.encode(" \n a")) == _packed([*self.model.encode(" "), *self.model.encode("\n")[1:], *self.model.encode("a")])
@@ -110,12 +154,12 @@ class SentencePieces(_Pieces):
         return _packed(self.model.encode(text[1:]))
 
 
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> ByteLevel:
-    """One per worker and vocabulary file."""
-    return ByteLevel(path)
+@lru_cache(maxsize=4)
+def byte_level(path: str, most: int = MOST_PIECES) -> ByteLevel:
+    """One per worker, vocabulary file and number of pieces to keep."""
+    return ByteLevel(path, most)
 
 
-@lru_cache(maxsize=2)
-def sentence_pieces(path: str) -> SentencePieces:
-    return SentencePieces(path)
+@lru_cache(maxsize=4)
+def sentence_pieces(path: str, most: int = MOST_PIECES) -> SentencePieces:
+    return SentencePieces(path, most)
