@@ -28,7 +28,8 @@ from faultline.llm import text as tx
 from faultline.llm.memory import release
 from faultline.llm.tokenizing import byte_level, sentence_pieces
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
+PIECES = 250_000  # kept of either vocabulary
 LANE = 1024
 MOST_PRODUCTS = 1 << 20
 _SCHEMA = ("chunk long, place int, id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -136,25 +137,37 @@ def _strings(ids_a, ids_b, size_a, size_b, doc_of_group, docs: int, names) -> li
 
 
 def pair_bits(path_a: str, path_b: str) -> tuple[int, int]:
-    return tuple(max(1, (len(m.bytes) - 1).bit_length()) for m in (byte_level(path_a), sentence_pieces(path_b)))
+    return tuple(max(1, (len(m.lengths) - 1).bit_length()) for m in (byte_level(path_a, PIECES), sentence_pieces(path_b, PIECES)))
 
 
 def _pair_type(bits: tuple[int, int]) -> type:
     return np.uint32 if sum(bits) <= 32 else np.uint64
 
 
+def _faithful(model, ids: list[bytes], texts: list[str]) -> list[bytes | None]:
+    """None for texts that their ids do not give back byte for byte."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(r) for r in raw])
+    every = np.frombuffer(b"".join(ids), "<u4")
+    place = np.append(0, np.cumsum(model.lengths[every]))
+    same = np.diff(place[np.cumsum([0] + [len(i) // 4 for i in ids])]) == size
+    kept = np.frombuffer(b"".join([i for i, s in zip(ids, same) if s]), "<u4")
+    wrong = np.flatnonzero(model.decode(kept) != np.frombuffer(b"".join([r for r, s in zip(raw, same) if s]), np.uint8))
+    at = np.flatnonzero(same)
+    same[at[np.searchsorted(np.cumsum(size[at]), wrong, "right")]] = False
+    return [i if s else None for i, s in zip(ids, same)]
+
+
 def _align_chunk(piece: pa.RecordBatch, number: int, tables) -> pa.RecordBatch:
     (model_a, model_b), (len_a, len_b), names, bits = tables
     docs = piece.num_rows
     texts = [" " + (t or "") for t in piece.column("text").to_pylist()]
-    found = []
-    for t, x, y in zip(texts, model_a.encode(texts), model_b.encode(texts)):
-        raw = t.encode("utf-8", "surrogatepass")
-        whole = len(raw) > 1 and all(
-            b"".join(map(m.bytes.__getitem__, np.frombuffer(i, "<u4").tolist())) == raw for m, i in ((model_a, x), (model_b, y)))
-        found.append((x, y) if whole else (b"", b""))
-    n_a, n_b = (np.array([len(f[k]) // 4 for f in found], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.frombuffer(b"".join(f[k] for f in found), "<u4") for k in (0, 1))
+    found = [_faithful(m, m.encode(texts), texts) for m in (model_a, model_b)]
+    ok = [t != " " and x is not None and y is not None for t, x, y in zip(texts, *found)]
+    ids = [[x if good else b"" for x, good in zip(f, ok)] for f in found]
+    n_a, n_b = (np.array([len(x) // 4 for x in own], np.int64) for own in ids)
+    ids_a, ids_b = (np.frombuffer(b"".join(own), "<u4") for own in ids)
+    del texts, found, ids
     end_a, end_b = np.cumsum(len_a[ids_a]), np.cumsum(len_b[ids_b])
     begins = np.append(0, np.append(0, end_a)[np.cumsum(n_a)])
     path = lockstep(end_a, end_b, begins)
@@ -188,9 +201,9 @@ def _align_chunk(piece: pa.RecordBatch, number: int, tables) -> pa.RecordBatch:
 
 
 def _tables(path_a: str, path_b: str) -> tuple:
-    models = byte_level(path_a), sentence_pieces(path_b)
-    lengths = tuple(np.array([len(x) for x in m.bytes], np.int64) for m in models)
-    names = tuple([f"{i}{mark}" for i in range(len(m.bytes)) for mark in marks] for m, marks in zip(models, (",||", (",", ";", ""))))
+    models = byte_level(path_a, PIECES), sentence_pieces(path_b, PIECES)
+    lengths = tuple(m.lengths for m in models)
+    names = tuple([f"{i}{mark}" for i in range(len(m.lengths)) for mark in marks] for m, marks in zip(models, (",||", (",", ";", ""))))
     return models, lengths, names, pair_bits(path_a, path_b)
 
 

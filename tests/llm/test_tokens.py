@@ -110,11 +110,11 @@ def aligned_plainly(text):
     ids_a = a.model.encode(" " + text, add_special_tokens=False).ids
     ids_b = b.model.encode(text)
     raw = (" " + text).encode()
-    if b"".join(a.bytes[i] for i in ids_a) != raw or b"".join(b.bytes[i] for i in ids_b) != raw:
+    if any(m.decode(np.array(ids, np.int64)).tobytes() != raw for m, ids in ((a, ids_a), (b, ids_b))):
         return []
     ends = []
     for model, ids in ((a, ids_a), (b, ids_b)):
-        ends.append(np.cumsum([len(model.bytes[i]) for i in ids]).tolist())
+        ends.append(np.cumsum(model.lengths[ids]).tolist())
     cuts = sorted(set(ends[0]) & set(ends[1]))
     out, i, j = [], 0, 0
     for c in cuts:
