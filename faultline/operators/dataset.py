@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions.hashing import hash_key
-from faultline.operators.scan import ordered_scan, row_number
+from faultline.operators.scan import falling, ordered_scan, row_number
 
 
 def heuristic_filter(include_heuristics: bool, excluded_types: Sequence[str] = ()) -> Column:
@@ -73,7 +73,7 @@ def combine_labelled(vulnerable: DataFrame, safe: DataFrame, key: str = "commit_
 def temporal_split(df: DataFrame, test_fraction: float, key: str = "commit_id") -> DataFrame:
     """Add ``is_test``: the most recent ``floor(n * fraction)`` rows, ids breaking ties."""
     ranked = ordered_scan(
-        df, [], [F.col("commit_date").desc(), F.col(key).asc()], {"_rn": row_number()}, totals={"_n": row_number()}
+        df, [], [falling("commit_date"), key], {"_rn": row_number()}, totals={"_n": row_number()}
     )
     n_test = F.floor(F.col("_n") * F.lit(test_fraction))
     return ranked.withColumn("is_test", F.col("_rn") <= n_test).drop("_rn", "_n")

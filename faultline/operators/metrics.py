@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.operators.scan import (
+    falling,
     following,
     ordered_scan,
     previous,
@@ -47,7 +48,7 @@ def threshold_curve(pred: DataFrame) -> DataFrame:
     running = ordered_scan(
         counts,
         ["model"],
-        [F.col("y_pred").desc()],
+        [falling("y_pred")],
         {
             "tp": running_sum("pos"),
             "fp": running_sum("neg"),
@@ -190,7 +191,7 @@ def gain_curve(pred: DataFrame, size: str, keys: Sequence[str] = ("model",)) ->
     running = ordered_scan(
         pred,
         keys,
-        [F.col("y_pred").desc(), F.col(size).asc(), F.col("id").asc()],
+        [falling("y_pred"), size, "id"],
         {"rank": row_number(), "_seen": running_sum(size), "_found": running_sum(pos_size)},
         totals={"_size": running_sum(size), "_pos_size": running_sum(pos_size)},
     )

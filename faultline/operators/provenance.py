@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.functions import text as x
 from faultline.operators import diff as d
 from faultline.operators.quantiles import median_and_mad
-from faultline.operators.scan import ordered_scan, row_number, running_sum
+from faultline.operators.scan import falling, ordered_scan, row_number, running_sum
 from faultline.session import cut_lineage
 
 
@@ -83,7 +83,7 @@ def fix_time_stats(days: DataFrame, value: str = "days", share: float = 0.1) ->
     """Mean, median and the value at place ``int(n * share)`` of the descending order."""
     counts = days.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     run = ordered_scan(
-        counts, [], [F.col("_v").desc()], {"_upto": running_sum("_n")}, totals={"_all": running_sum("_n")}
+        counts, [], [falling("_v")], {"_upto": running_sum("_n")}, totals={"_all": running_sum("_n")}
     )
     n = F.col("_all")
     lo, hi = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)

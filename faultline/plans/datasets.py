@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.columns import big, r6
 from faultline.operators import dataset as d
+from faultline.operators.scan import falling
 from faultline.plans.registry import VIEWS, query
 
 VIEWS["v_vcc_link"] = """
@@ -327,5 +328,5 @@ def q_kfold(t):
 )
 def q_recent_n(t):
     rows = t.v_commits.select("commit_id", "project", "commit_date")
-    order = [F.col("commit_date").desc(), F.col("commit_id").desc()]
+    order = [falling("commit_date"), falling("commit_id")]
     return d.recent_windows(rows, ["project"], order, train=800, test=200).drop("commit_date")
