@@ -242,49 +242,107 @@ def drawn_counts(rng: np.random.Generator, sizes: np.ndarray, take: int, rounds:
     return out
 
 
+def subset_sums(rng: np.random.Generator, values: np.ndarray, take: int, rounds: int, cells: int = 1 << 22) -> np.ndarray:
+    """Sums of ``rounds`` subsets of ``take`` of the whole numbers ``values``, each subset equally likely.
+
+    Every row is taken by one random byte against a limit, so a round's first set is equally likely among those of
+    its size, whatever the limit. Then rows at random are left out or added until it has ``take``, about the
+    square root of their number. The sums are matrix products over bytes of the values, exact in single precision."""
+    n = len(values)
+    if take in (0, n):
+        return np.full(rounds, int(values.sum()) if take else 0, np.int64)
+    low = int(values.min())
+    above = (values - low).astype(np.uint64)
+    limbs = max(1, -(-int(above.max()).bit_length() // 8))
+    parts = np.stack([(above >> np.uint64(8 * i) & np.uint64(255)).astype(np.float32) for i in range(limbs)], 1)
+    scale = np.array([1 << 8 * i for i in range(limbs)], np.float64)
+    limit = min(255, max(1, round(256 * take / n)))
+    out, step = np.empty(rounds, np.int64), max(1, cells // n)
+    for first in range(0, rounds, step):
+        m = min(step, rounds - first)
+        chosen = np.frombuffer(rng.bytes(m * n), np.uint8).reshape(m, n) < limit  # a copy that can be changed
+        over = chosen.view(np.uint8).sum(1, dtype=np.int32) - take
+        flat, base, left, surplus = chosen.reshape(-1), np.arange(m) * n, np.abs(over), over > 0
+        while True:
+            live = left > 0
+            base, left, surplus = base[live], left[live], surplus[live]
+            if not len(base):
+                break
+            at = base + rng.integers(0, n, len(base), dtype=np.int32)
+            was = flat[at]
+            hit = was == surplus
+            flat[at] = was ^ hit
+            left = left - hit
+        total = np.zeros((m, limbs))
+        for i in range(0, n, 1 << 15):  # 255 * 2**15 stays below 2**24
+            total += chosen[:, i : i + (1 << 15)].astype(np.float32) @ parts[i : i + (1 << 15)]
+        out[first : first + m] = np.rint(total @ scale).astype(np.int64) + low * take
+    return out
+
+
+#: How many rows of `subset_sums` cost as much as one value of `drawn_counts`.
+ROWS_PER_VALUE = 40
+
+
+def permuted_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, take: int, rounds: int) -> np.ndarray:
+    """Sums of a random group of ``take`` rows out of rows with these distinct values, by whichever way costs less: row by
+    row, or by drawing how many rows of each value the group gets. Both draw from the same distribution. Sums are of the
+    smaller group, and the other's follow."""
+    size = int(counts.sum())
+    if size <= ROWS_PER_VALUE * len(values):
+        rows = np.repeat(values, counts)
+        if 2 * take > size:
+            return int(rows.sum()) - subset_sums(rng, rows, size - take, rounds)
+        return subset_sums(rng, rows, take, rounds)
+    out, step = np.empty(rounds, np.int64), max(1, (1 << 22) // len(values))
+    for first in range(0, rounds, step):
+        m = min(step, rounds - first)
+        out[first : first + m] = drawn_counts(rng, counts, take, m) @ values
+    return out
+
+
 def pairwise_permutation(
-    df: DataFrame, group: str, value: str, rounds: int = 100_000, seed: int = 0, rounds_per_task: int = 250
+    df: DataFrame, group: str, value: str, rounds: int = 100_000, seed: int = 0, rounds_per_task: int = 20_000
 ) -> DataFrame:
-    """Two-sided permutation test of the difference in means for every pair of groups.
+    """Two-sided permutation test of the difference in means for every pair of groups: ``difference`` and ``p_value``
+    (rounds at least as extreme, the data themselves counted as one of them).
 
-    Permuting labels only moves counts between equal values. So the data are first counted per
-    (group, day); a round then draws how many of each day fall to the first group (multivariate
-    hypergeometric), at a cost that depends on the number of distinct days and not on the rows.
-    Rounds are spread over tasks, each with its own seeded stream. Groups are categories; whole-day
-    values keep a pair's counts to one entry per day.
+    Permuting labels only moves counts between equal values, so the data are first counted per (group, whole number).
+    Each pair's counts are pooled once, in Spark, and written; its rounds are spread over tasks, each with its own
+    seeded stream. Groups are categories: as many rows as pairs of them, and each holds one entry per distinct value.
     """
     counts = df.groupBy(F.col(group).alias("g"), F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    hist = counts.groupBy("g").agg(
-        F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"),
-        F.sum("n").alias("size"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-    )
-    a = hist.select(*[F.col(c).alias(f"a_{c}") for c in hist.columns])
-    b = hist.select(*[F.col(c).alias(f"b_{c}") for c in hist.columns])
+    counts = cut_lineage(counts.filter("v IS NOT NULL"))
+    whole = counts.groupBy("g").agg(F.sum("n").alias("size"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    whole = cut_lineage(whole)
+    a = whole.select(*[F.col(c).alias(f"a_{c}") for c in whole.columns])
+    b = whole.select(*[F.col(c).alias(f"b_{c}") for c in whole.columns])
     # partners are listed by name and found by equality; names are as few as categories
-    names = hist.agg(F.sort_array(F.collect_list("g"))).scalar()
+    names = whole.agg(F.sort_array(F.collect_list("g"))).scalar()
     partners = F.filter(F.col("_names"), lambda g: g > F.col("a_g"))
     pairs = a.withColumn("_names", names).withColumn("b_g", F.explode(partners)).drop("_names").join(b, "b_g")
+    either = pairs.withColumn("g", F.explode(F.array("a_g", "b_g")))
+    pooled = (
+        either.join(counts, "g")
+        .groupBy(*pairs.columns, "v")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*pairs.columns)
+        .agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
+        .select("a_g", "b_g", "a_size", "b_size", "a_mean", "b_mean", F.col("p.v").alias("values"), F.col("p.n").alias("counts"))
+    )
     chunks = -(-rounds // rounds_per_task)
-    work = pairs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("a_g", "b_g", "chunk")
+    work = cut_lineage(pooled).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    work = work.repartition(max(1, chunks) * 8, "a_g", "b_g", "chunk")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                pooled: dict[int, int] = {}
-                for side in (row.a_m, row.b_m):
-                    for k, n in dict(side).items():
-                        pooled[k] = pooled.get(k, 0) + n
-                days = np.array(sorted(pooled), dtype=np.int64)
-                sizes = np.array([pooled[k] for k in days], dtype=np.int64)
                 todo = min(rounds_per_task, rounds - row.chunk * rounds_per_task)
-                key = [seed, row.chunk, *f"{row.a_g}|{row.b_g}".encode()]
-                rng = np.random.default_rng(key)
-                drawn = drawn_counts(rng, sizes, int(row.a_size), todo)
-                total = float((days * sizes).sum())
-                first = drawn @ days
-                gap = np.abs(first / row.a_size - (total - first) / row.b_size)
+                rng = np.random.default_rng([seed, row.chunk, *f"{row.a_g}|{row.b_g}".encode()])
+                values, counts = np.asarray(row.values, np.int64), np.asarray(row.counts, np.int64)
+                first = permuted_sums(rng, values, counts, int(row.a_size), todo)
+                gap = np.abs(first / row.a_size - (float(values @ counts) - first) / row.b_size)
                 observed = abs(row.a_mean - row.b_mean)
                 out.append((row.a_g, row.b_g, row.a_mean - row.b_mean, int((gap >= observed - 1e-9).sum()), todo))
             yield pd.DataFrame(out, columns=["a", "b", "difference", "extreme", "rounds"])

@@ -215,6 +215,34 @@ def test_permutation_query_compares_every_pair_of_categories(spark, sf_dir, monk
     assert got == {(a, b) for a in names for b in names if a < b}
 
 
+@pytest.mark.parametrize("values,take", [([3, -4, 10, 10, 7], 2), ([0, 1, 2, 300, 70_000, 5], 4), ([5, 6], 1), ([1, 2, 3], 3), ([1, 2, 3], 0)])
+def test_every_subset_is_equally_likely(values, take):
+    import collections
+    import itertools
+
+    import numpy as np
+
+    rng, rounds = np.random.default_rng(3), 40_000
+    got = collections.Counter(st.subset_sums(rng, np.array(values), take, rounds, cells=1000).tolist())
+    want = collections.Counter(sum(values[i] for i in c) for c in itertools.combinations(range(len(values)), take))
+    assert set(got) == set(want)
+    for total, n in want.items():
+        assert got[total] / rounds == pytest.approx(n / sum(want.values()), abs=0.015)
+
+
+def test_both_ways_of_drawing_agree(monkeypatch):
+    import numpy as np
+
+    values, counts = np.array([1, 5, 9, 1000]), np.array([40, 3, 90, 7])
+    sums = []
+    for most in (0, 10**6):
+        monkeypatch.setattr(st, "ROWS_PER_VALUE", most)
+        sums.append(st.permuted_sums(np.random.default_rng(1), values, counts, 95, 20_000))
+    assert sums[0].mean() == pytest.approx(sums[1].mean(), rel=0.02) and sums[0].std() == pytest.approx(sums[1].std(), rel=0.05)
+    whole = int(values @ counts)
+    assert sums[0].mean() == pytest.approx(whole * 95 / 140, rel=0.02)
+
+
 def test_kruskal_and_tail(spark):
     df = spark.createDataFrame([(5.991464547, 2), (7.814727903, 3), (0.0, 1)], "x double, k int")
     assert [r[0] for r in df.select(st.chi_square_tail("x", "k")).collect()] == pytest.approx([0.05, 0.05, 1.0], abs=1e-6)
