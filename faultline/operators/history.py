@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions import text as x
+from faultline.operators.decay import decayed_sum
 from faultline.operators.scan import ordered_scan, previous, row_number, running_sum
 from faultline.session import cut_lineage
 
@@ -175,37 +176,11 @@ def experience(changes: DataFrame) -> DataFrame:
     return ordered_scan(author_touches(changes), ["author"], WHEN, {"exp": running_sum("touches")})
 
 
-def recent_experience(with_exp: DataFrame) -> DataFrame:
-    """``rexp``: touches of the author so far, each weighted 1 / (age in days + 1).
-
-    Touches are counted per author and calendar day first. An author's history is then one list with
-    at most one entry per day, however many commits a bot makes, and every day is weighed against
-    the days before it. Touches of the same day have age 0: their number is what ``exp`` grew by
-    since the day before.
-    """
-    day = F.to_date("commit_date")
-    per_day = with_exp.groupBy("author", day.alias("day")).agg(F.sum("touches").alias("n"))
-    lists = per_day.groupBy("author").agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), "n"))).alias("days")
-    )
-
-    def weigh(i):
-        now = F.col("days")[i]["d"]
-        before = F.slice(F.col("days"), 1, i)
-        return F.struct(
-            now.alias("d"),
-            F.aggregate(before, F.lit(0.0), lambda a, e: a + e["n"] / (now - e["d"] + 1)).alias("weighted"),
-            F.aggregate(before, F.lit(0).cast("bigint"), lambda a, e: a + e["n"]).alias("count"),
-        )
-
-    past = lists.select(
-        "author", F.inline(F.transform(F.sequence(F.lit(0), F.size("days") - 1), weigh))
-    ).select("author", F.col("d").alias("_d"), "weighted", "count")
-    return (
-        with_exp.withColumn("_d", F.unix_date(day))
-        .join(past, ["author", "_d"])
-        .select("commit_id", (F.col("weighted") + F.col("exp") - F.col("count")).alias("rexp"))
-    )
+def recent_experience(touches: DataFrame) -> DataFrame:
+    """``rexp``: touches of the author so far, each weighted 1 / (age in days + 1), ages exact to the fraction of a second.
+    Input is that of `author_touches`."""
+    out = decayed_sum(touches, ["author"], "commit_date", WHEN, F.col("touches"), "rexp")
+    return out.select("commit_id", "rexp")
 
 
 def subsystem_experience(changes: DataFrame) -> DataFrame:
@@ -242,7 +217,7 @@ def process_metrics(
         developers(changes, history),
         changes_and_age(history),
         with_exp.select("commit_id", "exp"),
-        recent_experience(with_exp),
+        recent_experience(with_exp.drop("exp")),
         subsystem_experience(changes),
     ):
         out = out.join(part, "commit_id")

@@ -32,7 +32,7 @@ VIEWS["o_touch"] = """
 SELECT author, commit_id, commit_date, count(*) AS touches FROM {v_file_changes} GROUP BY 1, 2, 3"""
 
 VIEWS["o_exp"] = """
-SELECT a.commit_id, sum(b.touches) AS exp, sum(b.touches / (date_diff('day', b.commit_date, a.commit_date) + 1)) AS rexp
+SELECT a.commit_id, sum(b.touches) AS exp, sum(b.touches / (date_diff('second', b.commit_date, a.commit_date) / 86400 + 1)) AS rexp
 FROM {o_touch} a JOIN {o_touch} b ON a.author = b.author AND (b.commit_date, b.commit_id) <= (a.commit_date, a.commit_id)
 GROUP BY 1"""
 
@@ -92,7 +92,7 @@ def q_exp(t):
 
 @query("q_rexp", "SELECT commit_id, round(rexp, 6) AS rexp FROM {o_exp}")
 def q_rexp(t):
-    return h.recent_experience(cut_lineage(h.experience(t.v_file_changes))).select("commit_id", r6("rexp", "rexp"))
+    return h.recent_experience(h.author_touches(t.v_file_changes)).select("commit_id", r6("rexp", "rexp"))
 
 
 @query("q_sexp", "SELECT commit_id, sexp FROM {o_sexp}")
