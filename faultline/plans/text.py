@@ -7,6 +7,7 @@ from faultline.functions import text as x
 from faultline.functions.columns import big, r6
 from faultline.operators import vocabulary as v
 from faultline.operators.history import first_files_and_lines
+from faultline.session import cut_lineage
 from faultline.plans.registry import VIEWS, query
 
 
@@ -168,9 +169,9 @@ LEFT JOIN {{o_pruned}} p ON p.token = lower(m.tok) GROUP BY m.id"""
 
 
 def _encoded(t):
-    vocab = v.prune_vocabulary(_message_vocab(t), 500, ["<NULL>", "<null>"])
+    vocab = cut_lineage(v.prune_vocabulary(_message_vocab(t), 500, ["<NULL>", "<null>"]))
     tokens = x.word_or_symbol_tokens(F.col("text"), lower=False)
-    return v.encode_tokens(t.v_messages, "id", tokens, vocab), vocab
+    return v.encode_tokens(t.v_messages, "id", tokens, vocab, most=502), vocab
 
 
 @query("q_encode_tokens", "SELECT id, md5(array_to_string(ids, ' ')) AS digest FROM {o_encoded}")
@@ -186,7 +187,7 @@ def q_encode_tokens(t):
 )
 def q_decode_tokens(t):
     ids, vocab = _encoded(t)
-    words = v.decode_tokens(ids, "id", F.col("ids"), vocab)
+    words = v.decode_tokens(ids, "id", F.col("ids"), vocab, most=502)
     return words.select("id", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 

@@ -317,6 +317,24 @@ def test_decoding_many_unknown_tokens(spark, rows):
     assert all(back[i] == [f"w{i * 150 + j}" if j % 10 == 0 and i * 150 + j < 11_000 else "<NULL>" for j in range(20)] for i in range(60))
 
 
+def test_in_row_dictionary_moves_no_document_and_keeps_its_bound(spark):
+    from tests.test_plans import plan
+
+    vocab = spark.createDataFrame([(f"w{i}", i, i % 5) for i in range(300)] + [("", 300, 1), ("\u00e9", 301, 1)], "token string, id bigint, freq bigint")
+    texts = spark.range(200).select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("W"), F.col("id") * 2 + i)).alias("t"))
+    texts = texts.unionByName(spark.sql("SELECT 999 AS id, array('', null, '\u00e9', 'nothing') AS t")).unionByName(spark.sql("SELECT 1000 AS id, cast(null AS array<string>) AS t"))
+    ids = vo.encode_tokens(texts, "id", F.col("t"), vocab, most=302, null_id=-1)
+    got = {r["id"]: r["ids"] for r in ids.collect()}
+    assert all(got[i] == [i * 2 + j if i * 2 + j < 300 else -1 for j in range(10)] for i in range(200))
+    assert got[999] == [300, -1, 301, -1] and got[1000] is None
+    main = plan(spark, ids).split("===== Subqueries =====")[0]
+    assert "Exchange" not in main and "Join" not in main
+    back = {r["id"]: r["tokens"] for r in vo.decode_tokens(ids, "id", F.col("ids"), vocab, most=302).collect()}
+    assert back[3] == [f"w{6 + j}" for j in range(10)] and back[999] == ["", "\u00e9"]
+    with pytest.raises(Exception, match="more than 100 entries"):
+        vo.encode_tokens(texts, "id", F.col("t"), vocab, most=100).collect()
+
+
 def test_first_new_row_of_a_key_is_inserted(spark, rows):
     target = spark.createDataFrame([(1, "x", 9)], "id int, name string, stamp int")
     new = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (2, "c", 3), (2, "d", 3), (3, None, None)], "id int, name string, stamp int")
