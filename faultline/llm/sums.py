@@ -21,9 +21,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
-def total_of(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of the int64 arrays in the binary column ``sums``: first in every task, then over ``SALTS`` tasks, each of
-    which holds one array at a time, then here. ``size`` is their fixed length."""
-    local = rows.select("sums").mapInArrow(_added, "sums binary")
+def total_of(rows: DataFrame, size: int, added: bool = False) -> np.ndarray:
+    """Sum of the int64 arrays in the binary column ``sums``: first in every task (``added``: there is one row a task), then
+    over ``SALTS`` tasks, each of which holds one array at a time, then here. ``size`` is their fixed length."""
+    local = rows.select("sums") if added else rows.select("sums").mapInArrow(_added, "sums binary")
     few = local.repartition(SALTS, F.xxhash64("sums")).mapInArrow(_added, "sums binary")
     return sum((np.frombuffer(r["sums"], np.int64) for r in few.collect()), np.zeros(size, np.int64))
