@@ -93,6 +93,43 @@ def test_leaks_of_edited_copies_alone(make_docs, spark, step):
     assert len(want) > 15 and {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(docs), table).collect()} == want
 
 
+@pytest.mark.parametrize("common", [20, 3000])
+def test_every_copy_above_the_limit_is_found(make_docs, spark, common):
+    """Random insertions, deletions and replacements at many rates, against the alignment of every document with every item.
+    With few different words all word pairs are common, so the seeds are not rare either."""
+    rng = random.Random(common)
+    some = lambda n: [f"w{rng.randrange(common)}" for _ in range(n)]
+    items = {i: some(rng.randrange(8, 45)) for i in range(8)}
+    docs = []
+    for item in items.values():
+        for rate in (0.05, 0.15, 0.25, 0.35, 0.5):
+            for kinds in ("i", "d", "r", "idr"):
+                text = []
+                for w in item:
+                    kind = rng.choice(kinds) if rng.random() < rate else ""
+                    text += {"": [w], "i": [w, f"x{rng.randrange(10**6)}"], "d": [], "r": [f"x{rng.randrange(10**6)}"]}[kind]
+                docs.append((len(docs), " ".join(some(10) + text + some(10))))
+        foreign = [v for k, w in enumerate(item) for v in ([w, "foreign"] if k % 2 else [w])]  # no three words in a row are left
+        docs.append((len(docs), " ".join(foreign)))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, w in items.items() if plain_alignment(np.array(w), np.array(t.split())) >= 0.4 * len(w)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(make_docs(docs), table).collect()}
+    assert len(want) > 80 and set(got) == want
+
+
+def test_records_are_dropped_one_by_one(make_docs, spark):
+    """Rows without an id, or that share one, are judged by their own text."""
+    item = " ".join(f"w{i}" for i in range(20))
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make_docs([(None, item), (None, "clean text"), (5, item), (5, "other clean text"), (6, None), (7, "")])
+    for most in (1_000_000, 1):
+        kept = decontaminate.without_leaks(docs, table, most_words=most)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(5, "other clean text"), (6, None), (7, ""), (None, "clean text")]
+    with pytest.raises(ValueError):
+        decontaminate.leaks(docs, table, costs=(3, -1, -1))
+
+
 def test_short_items_are_sought_whole(make_docs, spark):
     table = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "item_id long, text string")
     got = decontaminate.leaks(make_docs([(1, "x alpha beta y"), (2, "beta alpha"), (3, "GAMMA")]), table, limit=0.9).collect()
