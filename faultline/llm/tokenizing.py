@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST_PIECES = 500_000
+MOST_PIECES = 1_000_000
 JOINED = 512  # new pieces given to the library in one text
 
 _BYTE_PIECES = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
