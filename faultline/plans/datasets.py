@@ -221,8 +221,31 @@ def q_rebuild_full(t):
 )
 def q_mix_projects(t):
     rows = t.v_vulnerable.withColumn("label", F.lit(1))
-    priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")  # all there are
-    return d.mix_projects({p[2:].lower(): rows.filter(F.col("project") == p).drop("project") for p in priorities})
+    return d.mix_projects({p[2:].lower(): df for p, df in _by_project(rows).items()})
+
+
+def _by_project(rows):
+    """One frame per project; the projects are a dimension, read from the data."""
+    names = [r[0] for r in rows.select("project").distinct().orderBy("project").collect() if r[0] is not None]
+    return {p: rows.filter(F.col("project") == p).drop("project") for p in names}
+
+
+@query("q_mix_sizes", "SELECT s.id, s.lines, m.project FROM {v_sizes} s JOIN {v_messages} m ON m.id = s.id WHERE m.project IS NOT NULL")
+def q_mix_sizes(t):
+    """Sizes of all projects, as the labels are mixed."""
+    rows = t.v_sizes.join(t.v_messages.select("id", "project"), "id")
+    return d.mix_projects(_by_project(rows))
+
+
+VIEWS["v_project_slices"] = """
+SELECT doc_id AS id, source AS project, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) END AS pre,
+       CASE WHEN doc_id % 7 <> 0 THEN substr(text, CAST(floor(length(text) / 2) AS INT) + 1) END AS post FROM {documents}"""
+
+
+@query("q_mix_slices", "SELECT id, pre, post, project FROM {v_project_slices} WHERE project IS NOT NULL AND (pre IS NOT NULL OR post IS NOT NULL)")
+def q_mix_slices(t):
+    """Changed code of all projects; rows without either side are no slices."""
+    return d.mix_projects(_by_project(t.v_project_slices)).filter("pre IS NOT NULL OR post IS NOT NULL")
 
 
 @query(

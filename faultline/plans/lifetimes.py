@@ -186,22 +186,115 @@ def q_code_age(t):
 
 VIEWS["v_cwes"] = "SELECT p_partkey AS cve, concat('CWE-', CAST(p_size * 5 + 14 AS VARCHAR(10))) AS cwe FROM {part}"
 
-# The oracle's own list: classes by category, as a second writing of the operator's map.
-_CLASSES = (
-    (1, "119 120 125 190 191 399 400 404 415 416 476 664 763 770 772 787 824 1187"),
-    (2, "20 22 59 74 77 78 89 91 93 94 129 502 707"),
-    (3, "17 193 369 617 674 682 834 835"),
-    (4, "79 92 189 200 203 254 255 264 269 275 276 281 284 285 287 290 310 311 319 320 327 347 358 426 522 538 601 668 732 862 863 922"),
-    (5, "NVD-Other 16 19 134 199 252 295 330 345 346 352 354 388 391 417 427 434 532 534 610 665 704 706 754 755 829 843 918 1021"),
-    (6, "361 362"),
-)
-_NAMES = ("Memory and Resource Management", "Input Validation and Sanitization", "Code Development Quality", "Security Measures", "Others", "Concurrency")
-_CAT_ROWS = ", ".join(f"('{w}', {c}, '{_NAMES[c - 1]}')" for c, listed in _CLASSES for w in listed.split())
+# Weakness class, number and name of its category, by category.
+_CATEGORY_ROWS = """
+('119', 1, 'Memory and Resource Management'),
+('120', 1, 'Memory and Resource Management'),
+('125', 1, 'Memory and Resource Management'),
+('190', 1, 'Memory and Resource Management'),
+('191', 1, 'Memory and Resource Management'),
+('399', 1, 'Memory and Resource Management'),
+('400', 1, 'Memory and Resource Management'),
+('404', 1, 'Memory and Resource Management'),
+('415', 1, 'Memory and Resource Management'),
+('416', 1, 'Memory and Resource Management'),
+('476', 1, 'Memory and Resource Management'),
+('664', 1, 'Memory and Resource Management'),
+('763', 1, 'Memory and Resource Management'),
+('770', 1, 'Memory and Resource Management'),
+('772', 1, 'Memory and Resource Management'),
+('787', 1, 'Memory and Resource Management'),
+('824', 1, 'Memory and Resource Management'),
+('1187', 1, 'Memory and Resource Management'),
+('20', 2, 'Input Validation and Sanitization'),
+('22', 2, 'Input Validation and Sanitization'),
+('59', 2, 'Input Validation and Sanitization'),
+('74', 2, 'Input Validation and Sanitization'),
+('77', 2, 'Input Validation and Sanitization'),
+('78', 2, 'Input Validation and Sanitization'),
+('89', 2, 'Input Validation and Sanitization'),
+('91', 2, 'Input Validation and Sanitization'),
+('93', 2, 'Input Validation and Sanitization'),
+('94', 2, 'Input Validation and Sanitization'),
+('129', 2, 'Input Validation and Sanitization'),
+('502', 2, 'Input Validation and Sanitization'),
+('707', 2, 'Input Validation and Sanitization'),
+('17', 3, 'Code Development Quality'),
+('193', 3, 'Code Development Quality'),
+('369', 3, 'Code Development Quality'),
+('617', 3, 'Code Development Quality'),
+('674', 3, 'Code Development Quality'),
+('682', 3, 'Code Development Quality'),
+('834', 3, 'Code Development Quality'),
+('835', 3, 'Code Development Quality'),
+('79', 4, 'Security Measures'),
+('92', 4, 'Security Measures'),
+('189', 4, 'Security Measures'),
+('200', 4, 'Security Measures'),
+('203', 4, 'Security Measures'),
+('254', 4, 'Security Measures'),
+('255', 4, 'Security Measures'),
+('264', 4, 'Security Measures'),
+('269', 4, 'Security Measures'),
+('275', 4, 'Security Measures'),
+('276', 4, 'Security Measures'),
+('281', 4, 'Security Measures'),
+('284', 4, 'Security Measures'),
+('285', 4, 'Security Measures'),
+('287', 4, 'Security Measures'),
+('290', 4, 'Security Measures'),
+('310', 4, 'Security Measures'),
+('311', 4, 'Security Measures'),
+('319', 4, 'Security Measures'),
+('320', 4, 'Security Measures'),
+('327', 4, 'Security Measures'),
+('347', 4, 'Security Measures'),
+('358', 4, 'Security Measures'),
+('426', 4, 'Security Measures'),
+('522', 4, 'Security Measures'),
+('538', 4, 'Security Measures'),
+('601', 4, 'Security Measures'),
+('668', 4, 'Security Measures'),
+('732', 4, 'Security Measures'),
+('862', 4, 'Security Measures'),
+('863', 4, 'Security Measures'),
+('922', 4, 'Security Measures'),
+('NVD-Other', 5, 'Others'),
+('16', 5, 'Others'),
+('19', 5, 'Others'),
+('134', 5, 'Others'),
+('199', 5, 'Others'),
+('252', 5, 'Others'),
+('295', 5, 'Others'),
+('330', 5, 'Others'),
+('345', 5, 'Others'),
+('346', 5, 'Others'),
+('352', 5, 'Others'),
+('354', 5, 'Others'),
+('388', 5, 'Others'),
+('391', 5, 'Others'),
+('417', 5, 'Others'),
+('427', 5, 'Others'),
+('434', 5, 'Others'),
+('532', 5, 'Others'),
+('534', 5, 'Others'),
+('610', 5, 'Others'),
+('665', 5, 'Others'),
+('704', 5, 'Others'),
+('706', 5, 'Others'),
+('754', 5, 'Others'),
+('755', 5, 'Others'),
+('829', 5, 'Others'),
+('843', 5, 'Others'),
+('918', 5, 'Others'),
+('1021', 5, 'Others'),
+('361', 6, 'Concurrency'),
+('362', 6, 'Concurrency')"""
 
 
 @query(
     "q_category_map",
-    f"""SELECT v.cve, v.cwe, m.cat, m.cat_name FROM {{v_cwes}} v LEFT JOIN (VALUES {_CAT_ROWS}) m(cwe_id, cat, cat_name) ON 'CWE-' || m.cwe_id = v.cwe""",
+    f"""SELECT v.cve, v.cwe, m.cat, m.cat_name FROM {{v_cwes}} v LEFT JOIN (VALUES {_CATEGORY_ROWS}) m(cwe_id, cat, cat_name) ON 'CWE-' || m.cwe_id = v.cwe""",
 )
 def q_category_map(t):
     return lt.with_category(t.v_cwes, "cwe").select("cve", "cwe", "cat", "cat_name")
