@@ -5,7 +5,8 @@ behind. The state is a set of per-key sums, stored as one small increment per ba
 output; a batch that is run again overwrites its own output and increment, so a restart counts
 nothing twice. A hot file or author is spread over tasks as in the batch form.
 
-Batches have to arrive in commit order; rows inside a batch may come in any order.
+Rows inside a batch may come in any order. A row that is older than what earlier batches brought for its file or its author
+would change values that are written already; such late rows are set apart in a table of their own and counted nowhere.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.history import WHEN
 from faultline.operators.scan import ordered_scan, previous, row_number
-from faultline.session import ensure_checkpoint_dir
+from faultline.session import cut_lineage
 from faultline.sources.files import path_exists
 
 STATE_SCHEMA = "key string, n bigint, last timestamp_ntz, kind string, epoch bigint"
@@ -65,15 +66,31 @@ def history_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def marked_late(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """``batch`` with ``late``: the row is before the latest date known of its file or of its author."""
+    files = known.filter("kind = 'path'").select(F.col("key").alias("_p"), F.col("last").alias("_fl"))
+    authors = known.filter("kind = 'author'").select(F.col("key").alias("_a"), F.col("last").alias("_al"))
+    both = batch.join(files, F.col("path") == F.col("_p"), "left").join(authors, F.col("author").cast("string") == F.col("_a"), "left")
+    late = F.col("commit_date") < F.greatest("_fl", "_al")
+    return both.select(*batch.columns, F.coalesce(late, F.lit(False)).alias("late"))
+
+
+def late_rows(out_path: str) -> str:
+    """Where the late rows of a stream stand."""
+    return f"{out_path.rstrip('/')}-late"
+
+
 def history_writer(out_path: str, state_path: str) -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ensure_checkpoint_dir(spark)
-        known = _known(spark, state_path, epoch)
-        history_batch(batch, known).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        _increments(batch).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        known = cut_lineage(_known(spark, state_path, epoch))
+        marked = cut_lineage(marked_late(batch, known))
+        timely = marked.filter(~F.col("late")).drop("late")
+        history_batch(timely, known).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        marked.filter("late").drop("late").write.mode("overwrite").parquet(f"{late_rows(out_path)}/epoch={epoch}")
+        _increments(timely).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
 
     return write
 

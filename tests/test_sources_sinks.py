@@ -17,7 +17,7 @@ from faultline.operators.lookup import skew_lookup
 from faultline.session import ensure_checkpoint_dir, shared_folder
 from faultline.sinks import tables as k
 from faultline.sources import files as s
-from faultline.streaming.incremental import fold_state, start_history_stream
+from faultline.streaming.incremental import fold_state, late_rows, start_history_stream
 
 
 def test_missing_results_are_empty(spark):
@@ -271,6 +271,25 @@ def test_stream_restart_and_rerun(spark, rows):
     assert rows(total(f"{base}/state")) == rows(total(f"{base}/folded"))
 
 
+def test_late_rows_are_set_apart(spark):
+    """A row before what is known of its file or author is neither counted nor lost; null authors and paths are no one's."""
+    base = shared_folder(spark, "t-late")
+    day = lambda n: datetime.datetime(2022, 1, n)
+    schema = "commit_id int, commit_date timestamp_ntz, path string, author string"
+    batches = [
+        [(3, day(3), "f", "a"), (1, day(1), "f", "a"), (2, day(2), "g", "b")],
+        [(4, day(2), "f", "c"), (5, day(2), "h", "a"), (6, day(3), "f", "b"), (7, day(1), None, None), (8, day(4), "f", "a")],
+    ]
+    for part in batches:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{base}/in")
+        src = spark.readStream.schema(schema).parquet(f"{base}/in")
+        start_history_stream(src, f"{base}/out", f"{base}/state", f"{base}/progress").awaitTermination()
+    late = {r["commit_id"] for r in spark.read.parquet(late_rows(f"{base}/out")).collect()}
+    assert late == {4, 5}
+    got = {r["commit_id"]: (r["file_changes"], r["exp"]) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {1: (1, 1), 3: (2, 2), 2: (1, 1), 6: (3, 2), 7: (1, 1), 8: (4, 3)}
+
+
 def _context(master, named=None, now=None):
     made = []
     sc = SimpleNamespace(master=master, getCheckpointDir=lambda: now, setCheckpointDir=made.append)
