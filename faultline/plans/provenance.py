@@ -393,3 +393,27 @@ def q_commit_distance(t):
     )
     pairs = prev.filter(F.col("older").isNotNull()).select("older", F.col("commit_id").alias("newer")).distinct()
     return p.commit_distance(pairs, t.v_commits)
+
+
+# the orders of ten customers are one history: most follow the one before, some fork three before it, some merge a fourth
+VIEWS["v_places"] = """
+SELECT commit_id, CAST(floor(author / 10) AS BIGINT) AS repo, row_number() OVER (PARTITION BY CAST(floor(author / 10) AS BIGINT) ORDER BY commit_date, commit_id) AS place
+FROM {v_commits}"""
+VIEWS["v_commit_parents"] = """
+SELECT a.commit_id, b.commit_id AS parent_id, CASE WHEN a.place - b.place = 4 THEN 1 ELSE 0 END AS parent_no
+FROM {v_places} a JOIN {v_places} b ON a.repo = b.repo
+WHERE b.place = a.place - CASE WHEN a.place % 7 = 3 THEN 3 ELSE 1 END OR (a.place % 5 = 0 AND b.place = a.place - 4)"""
+VIEWS["v_commit_pairs"] = """
+SELECT a.commit_id AS older, b.commit_id AS newer FROM {v_places} a JOIN {v_places} b ON a.repo = b.repo WHERE b.place IN (a.place + 12, a.place + 31, a.place - 2)"""
+
+
+@query(
+    "q_graph_distance",
+    """WITH RECURSIVE w AS (SELECT commit_id, commit_id AS ancestor FROM {v_places} UNION SELECT w.commit_id, p.parent_id FROM w JOIN {v_commit_parents} p ON p.commit_id = w.ancestor)
+    SELECT p.older, p.newer, CAST(count(*) FILTER (o.ancestor IS NULL) AS BIGINT) AS distance
+    FROM {v_commit_pairs} p JOIN w n ON n.commit_id = p.newer LEFT JOIN w o ON o.commit_id = p.older AND o.ancestor = n.ancestor GROUP BY 1, 2""",
+)
+def q_graph_distance(t):
+    from faultline.operators.commit_graph import graph_distance
+
+    return graph_distance(t.v_commit_pairs, t.v_commits, t.v_commit_parents)
