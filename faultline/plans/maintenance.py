@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from faultline.plans.registry import VIEWS, query
 from faultline.session import shared_folder
 from faultline.sinks import tables as k
+from faultline.sinks.buckets import BucketTable
 
 VIEWS["v_target"] = "SELECT o_orderkey AS id, o_custkey AS author, o_orderdate AS stamp, o_totalprice AS value FROM {orders} WHERE o_orderstatus <> 'O'"
 VIEWS["v_incoming"] = """
@@ -86,3 +87,25 @@ def q_dead_letter(t):
     return good.select("event_id", F.lit("ok").alias("outcome"), "value").unionByName(
         bad.select("event_id", F.lit("failed").alias("outcome"), F.lit(None).cast("bigint").alias("value"))
     )
+
+
+@query(
+    "q_bucket_upsert",
+    """SELECT id, author, stamp, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stamp DESC, r DESC) AS rn FROM (
+      SELECT *, 0 AS r FROM {v_target} UNION ALL SELECT *, 1 FROM {v_incoming})) WHERE rn = 1""",
+)
+def q_bucket_upsert(t):
+    """The upsert on a table in buckets: touched buckets are written anew, the manifest last."""
+    table = BucketTable.create(t.v_target, shared_folder(t.spark, "buckets"), ["id"], 16)
+    table.upsert(t.v_incoming, "stamp")
+    return table.read()
+
+
+@query(
+    "q_bucket_children",
+    """SELECT * FROM {v_children} WHERE parent NOT IN (SELECT parent FROM {v_new_children}) UNION ALL SELECT * FROM {v_new_children}""",
+)
+def q_bucket_children(t):
+    table = BucketTable.create(t.v_children, shared_folder(t.spark, "buckets"), ["parent"], 16)
+    table.replace_children(t.v_new_children)
+    return table.read()
