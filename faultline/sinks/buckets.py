@@ -3,7 +3,7 @@
 ``path/data-*`` holds the rows by bucket, one folder per rewrite; ``path/manifests/<version>`` lists which folder each
 bucket is read from. A change reads the buckets its keys fall into, writes them anew beside the old ones and lists them in
 the next manifest, last of all; until then readers see the version before, and a job that dies leaves the table as it was.
-All versions stay readable. Of two writers that start from one version only the first succeeds.
+Versions stay readable until ``forget`` removes them. Of two writers that start from one version only the first succeeds.
 """
 
 from __future__ import annotations
@@ -130,3 +130,17 @@ class BucketTable:
     def soft_delete(self, corrections: DataFrame, match: Sequence[str], flag: str = "manual_delete") -> int:
         """Sets the flag on the rows that agree with a correction in ``match``, which includes the table's keys."""
         return self.apply(corrections, lambda old, rows: tables.soft_deleted(old, rows, match, flag))
+
+    def forget(self, keep: int) -> None:
+        """Only the newest ``keep`` versions stay; folders of buckets that none of them lists go. Readers of older versions
+        must have ended. Folders of jobs that died before their manifest are not known and stay."""
+        if keep < 1:
+            raise ValueError("at least one version stays")
+        there = self.versions()
+        gone, stay = there[:-keep], there[-keep:]
+        needed = {f for v in stay for f in self._manifest(v)[2].values()}
+        for v in gone:
+            unused = set(self._manifest(v)[2].values()) - needed
+            for name in [f"{self.path}/manifests/{v:010d}", *sorted(unused)]:
+                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -1,9 +1,10 @@
 """History metrics over a stream of file changes.
 
 Every micro-batch runs the same batch operators on its own rows and adds what earlier batches left
-behind. The state is a set of per-key sums, stored as one small increment per batch next to the
-output; a batch that is run again overwrites its own output and increment, so a restart counts
-nothing twice. A hot file or author is spread over tasks as in the batch form.
+behind. The state is a set of per-key sums in a bucketed table: a batch reads the buckets its own files and authors
+fall into, writes them anew, and lists them in the state's next version. Version e is the state before batch e, so a
+batch that is run again overwrites its own output and version and counts nothing twice. A hot file or author is spread over
+tasks as in the batch form.
 
 Rows inside a batch may come in any order. A row that is older than what earlier batches brought for its file or its author
 would change values that are written already; such late rows are set apart in a table of their own and counted nowhere.
@@ -19,9 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 from faultline.operators.history import WHEN
 from faultline.operators.scan import ordered_scan, previous, row_number
 from faultline.session import cut_lineage
-from faultline.sources.files import path_exists
+from faultline.sinks.buckets import BucketTable
 
-STATE_SCHEMA = "key string, n bigint, last timestamp_ntz, kind string, epoch bigint"
+STATE_SCHEMA = "kind string, key string, n bigint, last timestamp_ntz"
+STATE_KEYS = ["kind", "key"]
 
 
 def _increments(batch: DataFrame) -> DataFrame:
@@ -37,17 +39,14 @@ def _increments(batch: DataFrame) -> DataFrame:
     )
 
 
-def _known(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
-    """State before ``epoch``: the increments of all earlier batches."""
-    if not path_exists(spark, state_path):
-        return spark.createDataFrame([], "kind string, key string, n bigint, last timestamp_ntz")
-    return (
-        spark.read.schema(STATE_SCHEMA)
-        .parquet(state_path)
-        .filter(F.col("epoch") < epoch)
-        .groupBy("kind", "key")
-        .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    )
+def state_table(spark: SparkSession, state_path: str, buckets: int = 64) -> BucketTable:
+    """The state at ``state_path``, made empty if it is not there."""
+    table = BucketTable(spark, state_path)
+    return table if table.versions() else BucketTable.create(spark.createDataFrame([], STATE_SCHEMA), state_path, STATE_KEYS, buckets)
+
+
+def _added(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).groupBy(*STATE_KEYS).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 def history_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,17 +79,19 @@ def late_rows(out_path: str) -> str:
     return f"{out_path.rstrip('/')}-late"
 
 
-def history_writer(out_path: str, state_path: str) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``."""
+def history_writer(out_path: str, state_path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``. The state must be that of the stream's own progress: batch e needs version e."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = cut_lineage(_known(spark, state_path, epoch))
-        marked = cut_lineage(marked_late(batch, known))
+        state = state_table(batch.sparkSession, state_path, buckets)
+        rows = cut_lineage(batch)
+        known = cut_lineage(state.near(_increments(rows), epoch))
+        marked = cut_lineage(marked_late(rows, known))
         timely = marked.filter(~F.col("late")).drop("late")
         history_batch(timely, known).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
         marked.filter("late").drop("late").write.mode("overwrite").parquet(f"{late_rows(out_path)}/epoch={epoch}")
-        _increments(timely).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        state.apply(_increments(timely), _added, epoch)
+        state.forget(2)  # this batch's state and the one before, should the batch be run again
 
     return write
 
@@ -105,12 +106,3 @@ def start_history_stream(changes: DataFrame, out_path: str, state_path: str, pro
         .start()
     )
 
-
-def fold_state(spark: SparkSession, state_path: str, target: str, upto: int) -> None:
-    """Fold the increments up to ``upto`` into one, in a new folder; later ones are copied over."""
-    rows = spark.read.schema(STATE_SCHEMA).parquet(state_path)
-    old = rows.filter(F.col("epoch") <= upto).groupBy("kind", "key").agg(
-        F.sum("n").alias("n"), F.max("last").alias("last")
-    ).withColumn("epoch", F.lit(upto).cast("bigint"))
-    both = old.unionByName(rows.filter(F.col("epoch") > upto))
-    both.write.mode("overwrite").partitionBy("epoch").parquet(target)

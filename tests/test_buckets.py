@@ -77,3 +77,17 @@ def test_empty_tables_null_keys_and_refusals(spark):
         BucketTable.create(none, table.path, ["id"], 4)
     with pytest.raises(ValueError):
         BucketTable.create(none, shared_folder(spark, "x"), [], 4)
+
+
+def test_forgotten_versions_go_and_needed_folders_stay(spark, rows):
+    _, table = made(spark, 40, 4)
+    for i in range(3):
+        table.upsert(spark.createDataFrame([(1, 5 + i, "x")], SCHEMA), "stamp")
+    want = rows(table.read(), "id", "stamp", "value")
+    table.forget(2)
+    assert table.versions() == [2, 3] and rows(table.read(), "id", "stamp", "value") == want
+    assert table.read(2).filter("id = 1").first()["stamp"] == 6
+    table.forget(5)
+    assert table.versions() == [2, 3]
+    with pytest.raises(ValueError):
+        table.forget(0)

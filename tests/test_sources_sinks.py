@@ -17,7 +17,7 @@ from faultline.operators.lookup import skew_lookup
 from faultline.session import ensure_checkpoint_dir, shared_folder
 from faultline.sinks import tables as k
 from faultline.sources import files as s
-from faultline.streaming.incremental import fold_state, late_rows, start_history_stream
+from faultline.streaming.incremental import history_writer, late_rows, start_history_stream, state_table
 
 
 def test_missing_results_are_empty(spark):
@@ -266,9 +266,19 @@ def test_stream_restart_and_rerun(spark, rows):
         authors[author] = authors.get(author, 0) + 1
         assert got[cid] == (n + 1, last, authors[author])
         files[path] = (n + 1, when)
-    fold_state(spark, f"{base}/state", f"{base}/folded", 1)
-    total = lambda p: spark.read.parquet(p).groupBy("kind").agg(F.sum("n").alias("n"))
-    assert rows(total(f"{base}/state")) == rows(total(f"{base}/folded"))
+    state = state_table(spark, f"{base}/state")
+    want = sorted([("path", f, n) for f, (n, _) in files.items()] + [("author", a, n) for a, n in authors.items()])
+    assert rows(state.read(), "kind", "key", "n") == want
+    assert state.versions() == [2, 3]
+    # the last batch once more
+    last = spark.createDataFrame(data[12:], schema)
+    history_writer(f"{base}/out", f"{base}/state")(last, 2)
+    assert rows(state.read(), "kind", "key", "n") == want
+    again = {r["commit_id"]: (r["file_changes"], r["prev_date"], r["exp"]) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert again == got
+    # one key's state is read from one bucket
+    one = state.near(spark.createDataFrame([("path", "hot")], "kind string, key string"))
+    assert one.select(F.input_file_name()).distinct().count() == 1 and one.filter("key = 'hot'").count() == 1
 
 
 def test_late_rows_are_set_apart(spark):
