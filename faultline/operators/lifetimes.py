@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.operators.quantiles import exact_quantiles
+from faultline.operators.user_aggregate import Aggregate, user_aggregate
 from faultline.session import cut_lineage
 
 GROUND_DATE = "1900-01-01"
@@ -200,8 +201,11 @@ def lifetime_quantiles(df: DataFrame, value: str = "lifetime") -> DataFrame:
     )
 
 
-def yearly(df: DataFrame, year: str, value: str, min_rows: int = 20, estimator: str | Column = "mean") -> DataFrame:
-    """Mean, median (by name) or any aggregate expression per year, for years with enough rows."""
+def yearly(df: DataFrame, year: str, value: str, min_rows: int = 20, estimator: str | Column | Aggregate = "mean") -> DataFrame:
+    """Mean, median (by name), any aggregate expression or a user's aggregate per year, for years with enough rows."""
+    if isinstance(estimator, Aggregate):
+        n = df.groupBy(year).agg(F.count(value).alias("n")).filter(F.col("n") >= min_rows)
+        return n.join(user_aggregate(df, [year], [value], estimator), year)
     own = F.avg(value) if isinstance(estimator, str) else estimator
     n = df.groupBy(year).agg(F.count(value).alias("n"), own.alias("value"))
     if isinstance(estimator, str) and estimator == "median":

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from faultline.functions.columns import big, r6
 from faultline.operators import lifetimes as lt
 from faultline.operators import provenance as p
+from faultline.operators.user_aggregate import median_of_means, user_aggregate
 from faultline.plans.provenance import _hunks, _versions
 from faultline.plans.registry import VIEWS, query
 from faultline.session import cut_lineage
@@ -394,3 +395,15 @@ def q_patch_rows(t):
     return lt.patched(rows, "o_orderkey", [0, 3], {10: "patched", 12: "patched too"}, "o_orderpriority").select(
         "o_orderkey", "o_orderpriority"
     )
+
+
+@query(
+    "q_user_aggregate",
+    """SELECT category, project, round(median(m), 6) AS value FROM (
+      SELECT category, project, avg(date_diff('day', est_date, fix_date)) AS m FROM {v_lifetimes} GROUP BY category, project, fix % 8) GROUP BY ALL""",
+)
+def q_user_aggregate(t):
+    """A robust mean of the lifetimes of each category and project, written as a user's aggregate."""
+    rows = t.v_lifetimes.withColumn("days", F.date_diff("fix_date", "est_date"))
+    out = user_aggregate(rows, ["category", "project"], ["days", "fix"], median_of_means(8))
+    return out.select("category", "project", r6("value", "value"))
