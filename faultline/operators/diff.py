@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faultline.operators.intervals import points_in_intervals
+
 # The headers of unified diffs.
 FILE_HEADER = r"^diff --git a/(.*?)\s* b/(.*?)\s*$"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
@@ -175,9 +177,8 @@ def worth_blaming(code: Column, keywords: Sequence[str] = LINE_KEYWORDS) -> Colu
 
 
 def overlapping(lines: DataFrame, extents: DataFrame, keys: Sequence[str], line: str = "line_no") -> DataFrame:
-    """Changed lines with the functions around them; the range test rides on the equi-join."""
-    cond = F.col(line).between(F.col("start_line"), F.col("end_line"))
-    return lines.join(extents, list(keys)).filter(cond)
+    """Changed lines with the functions around them; a line meets only functions that hold it."""
+    return points_in_intervals(lines, extents, keys, line, "start_line", "end_line")
 
 
 def blamed(lines: DataFrame, blame: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -276,10 +277,7 @@ def context_snippets(changed: DataFrame, files: DataFrame, extents: DataFrame, k
 
     ``changed`` (key, line_no), ``files`` (key, lines array), ``extents`` (key, start_line, end_line).
     """
-    hit = changed.join(extents, key, "left").filter(
-        F.col("start_line").isNull() | F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    )
-    inside = hit.filter(F.col("start_line").isNotNull()).select(key, "line_no", "start_line", "end_line")
+    inside = overlapping(changed, extents, [key]).select(key, "line_no", "start_line", "end_line")
     bare = changed.join(inside.select(key, "line_no").distinct(), [key, "line_no"], "left_anti")
     spans = inside.select(key, "line_no", "start_line", "end_line").unionByName(
         bare.select(key, "line_no", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
