@@ -18,7 +18,9 @@ def _re(pattern: str) -> str:
 
 _TOKENS = f"list_filter(regexp_extract_all(text, {_re(x.WORD_OR_SYMBOL)}), lambda t: t <> '_')"
 _BLANKS = f"list_filter(regexp_split_to_array(text, {_re(x.BLANK + '+')}), lambda t: t <> '')"
-_MARKS = _re(x.SPACED_MARKS)
+# Fixed values, stated here apart from the operators': marks that stand alone, and what parts tokens of code.
+_MARKS = _re(r"([.@\-~%^&*()+={}|\\\[\]:;,<>?/])")
+_CODE_GAPS = _re(r"[\s\x0B\x1c-\x1f\x85\p{Z}+\-*/,;><=()\[\]{}]")
 
 
 @query(
@@ -43,7 +45,7 @@ def q_regex_tokens(t):
 
 @query(
     "q_delim_tokens",
-    f"""SELECT commit_id, path, line_no, array_to_string(list_filter(regexp_split_to_array(code, {_re(x.C_DELIMITERS)}), lambda t: t <> ''), '|') AS tokens
+    f"""SELECT commit_id, path, line_no, array_to_string(list_filter(regexp_split_to_array(code, {_CODE_GAPS}), lambda t: t <> ''), '|') AS tokens
     FROM {{v_lines}}""",
 )
 def q_delim_tokens(t):
@@ -267,7 +269,7 @@ def q_nested_counts(t):
 
 @query(
     "q_token_freq",
-    f"""SELECT project, token, count(*) AS freq FROM (SELECT project, unnest(list_filter(regexp_split_to_array(text, {_re(x.C_DELIMITERS)}), lambda t: t <> '')) AS token
+    f"""SELECT project, token, count(*) AS freq FROM (SELECT project, unnest(list_filter(regexp_split_to_array(text, {_CODE_GAPS}), lambda t: t <> '')) AS token
     FROM {{v_messages}}) GROUP BY 1, 2""",
 )
 def q_token_freq(t):
@@ -292,7 +294,7 @@ _KW = "(" + ", ".join(f"'{k}'" for k in x.CODE_KEYWORDS) + ")"
     "q_keyword_counts",
     f"""WITH n AS (SELECT commit_id, side, count(*) AS lines FROM {{v_lines}} GROUP BY 1, 2),
     k AS (SELECT commit_id, side, tok AS keyword, count(*) AS n FROM (
-      SELECT commit_id, side, unnest(regexp_split_to_array(code, {_re(x.C_DELIMITERS)})) AS tok FROM {{v_lines}}) WHERE tok IN {_KW} GROUP BY 1, 2, 3)
+      SELECT commit_id, side, unnest(regexp_split_to_array(code, {_CODE_GAPS})) AS tok FROM {{v_lines}}) WHERE tok IN {_KW} GROUP BY 1, 2, 3)
     SELECT k.commit_id, k.side, k.keyword, k.n, round(k.n / n.lines, 6) AS per_line FROM k JOIN n ON k.commit_id = n.commit_id AND k.side = n.side""",
 )
 def q_keyword_counts(t):
@@ -307,7 +309,7 @@ def q_keyword_counts(t):
 @query(
     "q_keyword_counts_all",
     f"""SELECT commit_id, tok AS keyword, count(*) AS n FROM (
-      SELECT commit_id, unnest(regexp_split_to_array(code, {_re(x.C_DELIMITERS)})) AS tok FROM {{v_lines}}) WHERE tok IN {_KW} GROUP BY 1, 2""",
+      SELECT commit_id, unnest(regexp_split_to_array(code, {_CODE_GAPS})) AS tok FROM {{v_lines}}) WHERE tok IN {_KW} GROUP BY 1, 2""",
 )
 def q_keyword_counts_all(t):
     """Keywords over added and deleted lines together."""
