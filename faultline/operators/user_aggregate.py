@@ -38,6 +38,7 @@ def user_aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], ag
     kinds = [df.schema[k] for k in keys]
     if any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in kinds):
         raise ValueError("floating-point keys")
+    start, update, merge, finish = aggregate  # plain functions travel to workers that lack this package
     ids, held_keys = [f"k{i}" for i in range(len(keys))], HELD_KEYS
     cells = [f"v{i}" for i in range(len(values))]
     keyed = T.StructType([T.StructField(i, f.dataType) for i, f in zip(ids, kinds)])
@@ -57,8 +58,8 @@ def user_aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], ag
             groups = zip(*[lists.column(i).to_pylist() for i in ids])
             parts = [lists.column(f"{c}_list").combine_chunks() for c in cells]
             for at, key in enumerate(groups):
-                state = states[key] if key in states else aggregate.start()
-                states[key] = aggregate.update(state, *[np.asarray(p[at].values) for p in parts])
+                state = states[key] if key in states else start()
+                states[key] = update(state, *[np.asarray(p[at].values) for p in parts])
             if len(states) > held_keys:
                 yield rows_of([(*k, pickle.dumps(s)) for k, s in states.items()], kinds, pa.binary(), [*ids, "state"])
                 states = {}
@@ -74,15 +75,15 @@ def user_aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], ag
             for key, packed in zip(zip(*[batch.column(i).to_pylist() for i in ids]), batch.column("state").to_pylist()):
                 part = pickle.loads(packed)
                 if key == now:
-                    state = aggregate.merge(state, part)
+                    state = merge(state, part)
                     continue
                 if now is not None:
-                    done.append((*now, aggregate.finish(state)))
+                    done.append((*now, finish(state)))
                 now, state = key, part
             if done:
                 yield rows_of(done, kinds, None, [*ids, "out"])
         if now is not None:
-            yield rows_of([(*now, aggregate.finish(state))], kinds, None, [*ids, "out"])
+            yield rows_of([(*now, finish(state))], kinds, None, [*ids, "out"])
 
     there = df.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], *[F.col(v).alias(c) for v, c in zip(values, cells)]).dropna(subset=cells)
     states = there.mapInArrow(collect, partial)
