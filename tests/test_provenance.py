@@ -52,3 +52,25 @@ def test_lines_of_a_file_do_not_travel(spark, sf_dir):
     assert plan.index("Generate") < plan.index("REPARTITION_BY_COL")
     one = blame.select("commit_id", "path", "block").groupBy("commit_id", "path", "block").count()
     assert one.filter("count > 1").isEmpty()
+
+
+def test_lifetimes_are_dealt_over_as_many_tasks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(plans, "ROWS_PER_TASK", 5)
+    day = datetime.date(2020, 1, 1)
+    lines = [(i % 40, i % 7, i % 3, 1 + i % 4, 3.0 + i % 9, 0.01 * (i % 5), "R" if i % 2 else "N", "F") for i in range(200)]
+    lines += lines[:20]
+    lineitem = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_linestatus string")
+    orders = spark.createDataFrame([(i, day + datetime.timedelta(i), f"{i % 3}-P") for i in range(40)], "o_orderkey bigint, o_orderdate date, o_orderpriority string")
+    part = spark.createDataFrame([(i, f"Brand#{i}") for i in range(7)], "p_partkey bigint, p_brand string")
+    tables = {"lineitem": lineitem, "orders": orders, "part": part}
+    whole = spark.sql(VIEWS["v_lifetimes"], **tables)
+    # 220 rows by 5 are more tasks than the session's own number of partitions
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < 44
+    t = SimpleNamespace(spark=spark, v_lifetimes=whole, **tables)
+    spread = plans._spread_lifetimes(t)
+    assert spread.rdd.getNumPartitions() == 44
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(spread) == rows(whole)
+    got = rows(plans._cves(t))
+    monkeypatch.setattr(plans, "ROWS_PER_TASK", 10**9)
+    assert got == rows(plans._cves(t))
