@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators import history as h
 
@@ -119,3 +120,32 @@ def test_age_counts_parts_of_days(spark):
     df = spark.createDataFrame(changes, "commit_id string, path string, author string, d string").selectExpr("commit_id", "path", "author", "to_timestamp(d) AS commit_date")
     got = {r["commit_id"]: r["age"] for r in h.changes_and_age(h.file_history(df)).collect()}
     assert got == {"c1": 0.0, "c2": 0.75}
+
+
+def test_own_metrics_send_every_row_once(spark):
+    """Distinct counts in one aggregate would repeat every row per count before the shuffle."""
+    df = spark.createDataFrame(make(), SCHEMA)
+    plan = h.own_metrics(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 1
+
+
+def test_scan_moves_no_inputs(spark):
+    """What a running value adds up follows from the columns that move anyway."""
+    from faultline.operators.scan import ordered_scan, running_sum
+
+    df = spark.createDataFrame(make(), SCHEMA)
+    out = ordered_scan(df, ["author"], h.WHEN, {"s": running_sum(F.col("lines_added") * 3)}, partitions=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :] if "RepartitionByExpression" in plan else plan
+    assert "_in_s" not in below.split("LogicalRDD")[0]
+
+
+def test_files_and_authors_without_a_name(spark):
+    """A file without a name has no authors, and nobody knows the files of an author without one."""
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(1, None, "a", day, 1, 0, 0), (1, "s/f", "a", day, 1, 0, 0), (2, "s/f", None, day + datetime.timedelta(1), 1, 0, 0)]
+    touches = h.own_touches(spark.createDataFrame(rows, SCHEMA))
+    history = {(r["commit_id"], r["path"]): r["file_authors"] for r in h._file_history(touches).collect()}
+    assert history == {(1, None): 0, (1, "s/f"): 1, (2, "s/f"): 2}
+    known = {r["commit_id"]: r["sexp"] for r in h._subsystem_experience(touches).collect()}
+    assert known[2] == 0 and known[1] >= 1
