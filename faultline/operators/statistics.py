@@ -301,6 +301,73 @@ def permuted_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarr
     return out
 
 
+def _more_counts(rng: np.random.Generator, rest: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """`drawn_counts` with a row of sizes and a group size per round."""
+    out = np.zeros(rest.shape, np.int64)
+    left, open_ = take.copy(), rest.sum(1)
+    for i in range(rest.shape[1]):
+        size = rest[:, i]
+        if int(open_.max()) < 10**9:
+            out[:, i] = rng.hypergeometric(size, open_ - size, left)
+        else:
+            share = left / np.maximum(1, open_)
+            spread = np.sqrt(np.maximum(size * share * (1 - share) * (open_ - size) / np.maximum(1, open_ - 1), 0))
+            drawn = np.rint(rng.normal(size * share, spread)).astype(np.int64)
+            out[:, i] = np.clip(drawn, np.maximum(0, left - (open_ - size)), np.minimum(size, left))
+        left, open_ = left - out[:, i], open_ - size
+    return out
+
+
+def prefix_sums(
+    rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, places: np.ndarray, cells: int = 1 << 22
+) -> np.ndarray:
+    """Sums of the first ``places`` rows, (rounds, any number of places), of rows with these values and counts that every
+    round puts in a new random order; by whichever way costs less, as in `permuted_sums`.
+
+    Few rows per value: every row draws a number, and only rows whose numbers lie about the places are sorted by them.
+    Many: the counts up to the smallest place of all are drawn at once. Then a round takes row after row at random from
+    those that it has not yet, and notes its sum at each of its places; a long way between two places is drawn at once too."""
+    size = int(counts.sum())
+    out = np.zeros(places.shape, np.int64)
+    if size <= ROWS_PER_VALUE * len(values):
+        rows, slack = np.repeat(values, counts), 2.5 * np.sqrt(size) + 1
+        for i, asked in enumerate(places):
+            low, high = int(asked.min()), int(asked.max())
+            number = rng.random(size)
+            below, upto = number < (low - slack) / size, number < (high + slack) / size
+            before, band = np.count_nonzero(below), np.flatnonzero(upto ^ below)
+            if before > low or before + len(band) < high:  # the places lie outside: sort all
+                before, band = 0, np.arange(size)
+            start = int(rows[below].sum()) if before else 0
+            band = rows[band[np.argsort(number[band])]]
+            out[i] = start + np.concatenate(([0], np.cumsum(band)))[asked - before]
+        return out
+    starts = np.cumsum(counts) - counts
+    step = max(1, cells // len(values))
+    for first in range(0, len(places), step):
+        asked = places[first : first + step]
+        rounds, at = np.arange(len(asked)), int(asked.min())
+        taken = drawn_counts(rng, counts, at, len(asked)) if at else np.zeros((len(asked), len(values)), np.int64)
+        total, reached = taken @ values, np.full(len(asked), at, np.int64)
+        for column in np.argsort(asked, axis=1).T:
+            goal = asked[rounds, column]
+            live, left = rounds, goal - reached
+            if int(left.max()) > len(values):
+                more = _more_counts(rng, counts - taken, left)
+                taken, total, left = taken + more, total + more @ values, np.zeros_like(left)
+            while len(live := live[keep := left > 0]):
+                left = left[keep]
+                row = rng.integers(0, size, len(live))
+                value = np.searchsorted(starts, row, "right") - 1
+                hit = row - starts[value] >= taken[live, value]  # else the round has this row
+                taken[live, value] += hit
+                total[live] += values[value] * hit
+                left = left - hit
+            reached = goal
+            out[first + rounds, column] = total
+    return out
+
+
 def pairwise_permutation(
     df: DataFrame, group: str, value: str, rounds: int = 100_000, seed: int = 0, rounds_per_task: int = 20_000
 ) -> DataFrame:
@@ -308,47 +375,70 @@ def pairwise_permutation(
     (rounds at least as extreme, the data themselves counted as one of them).
 
     Permuting labels only moves counts between equal values, so the data are first counted per (group, whole number).
-    Each pair's counts are pooled once, in Spark, and written; its rounds are spread over tasks, each with its own
-    seeded stream. Groups are categories: as many rows as pairs of them, and each holds one entry per distinct value.
+    A random group of the first one's size out of both has a hypergeometric number of rows from either, and these are a
+    random part of each. So every round puts each group's rows in one random order, and a pair reads off its sums at its
+    own numbers of rows: a group is shuffled once per round, not once per round and partner. Each pair has all its
+    rounds, each with a permutation equally likely among all; only tests that share a group share its orders. Rounds are
+    spread over tasks by group, each with its own seeded stream. Groups are categories: as many rows as pairs of them,
+    and each holds one entry per distinct value.
     """
     counts = df.groupBy(F.col(group).alias("g"), F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts.filter("v IS NOT NULL"))
-    whole = counts.groupBy("g").agg(F.sum("n").alias("size"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-    whole = cut_lineage(whole)
-    a = whole.select(*[F.col(c).alias(f"a_{c}") for c in whole.columns])
-    b = whole.select(*[F.col(c).alias(f"b_{c}") for c in whole.columns])
-    # partners are listed by name and found by equality; names are as few as categories
-    names = whole.agg(F.sort_array(F.collect_list("g"))).scalar()
-    partners = F.filter(F.col("_names"), lambda g: g > F.col("a_g"))
-    pairs = a.withColumn("_names", names).withColumn("b_g", F.explode(partners)).drop("_names").join(b, "b_g")
-    either = pairs.withColumn("g", F.explode(F.array("a_g", "b_g")))
-    pooled = (
-        either.join(counts, "g")
-        .groupBy(*pairs.columns, "v")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(*pairs.columns)
-        .agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
-        .select("a_g", "b_g", "a_size", "b_size", "a_mean", "b_mean", F.col("p.v").alias("values"), F.col("p.n").alias("counts"))
+    counts = cut_lineage(counts.filter("v IS NOT NULL AND g IS NOT NULL"))
+    whole = counts.groupBy("g").agg(
+        F.sum("n").alias("size"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.sum(F.col("v") * F.col("n")).alias("total"),
+        F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"),
     )
+    whole = cut_lineage(whole)
+    # names and sizes are as few as categories
+    names = whole.agg(F.sort_array(F.collect_list(F.struct("g", "size", "mean", "total")))).scalar()
     chunks = -(-rounds // rounds_per_task)
-    work = cut_lineage(pooled).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    work = work.repartition(max(1, chunks) * 8, "a_g", "b_g", "chunk")
+    work = whole.select(
+        "g", "size", F.col("p.v").alias("values"), F.col("p.n").alias("counts"), names.alias("names"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+    ).select("*", F.col("names.g").alias("partners"), F.col("names.size").alias("sizes")).drop("names")
+    work = work.repartition(max(1, chunks) * 32, "g", "chunk")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for row in frame.itertuples(index=False):
                 todo = min(rounds_per_task, rounds - row.chunk * rounds_per_task)
-                rng = np.random.default_rng([seed, row.chunk, *f"{row.a_g}|{row.b_g}".encode()])
+                size = int(row.size)
                 values, counts = np.asarray(row.values, np.int64), np.asarray(row.counts, np.int64)
-                first = permuted_sums(rng, values, counts, int(row.a_size), todo)
-                gap = np.abs(first / row.a_size - (float(values @ counts) - first) / row.b_size)
-                observed = abs(row.a_mean - row.b_mean)
-                out.append((row.a_g, row.b_g, row.a_mean - row.b_mean, int((gap >= observed - 1e-9).sum()), todo))
-            yield pd.DataFrame(out, columns=["a", "b", "difference", "extreme", "rounds"])
+                partners = [(g, int(n)) for g, n in zip(row.partners, row.sizes) if g != row.g]
+                if not partners:
+                    continue
+                places = np.empty((todo, len(partners)), np.int64)
+                for i, (g, n) in enumerate(partners):
+                    pair = [(row.g, size), (g, n)] if row.g < g else [(g, n), (row.g, size)]
+                    both = np.random.default_rng([seed, 0, row.chunk, *f"{pair[0][0]}|{pair[1][0]}".encode()])
+                    drawn = drawn_counts(both, np.array([pair[0][1], pair[1][1]], np.int64), pair[0][1], todo)
+                    places[:, i] = drawn[:, 0 if row.g < g else 1]
+                rng = np.random.default_rng([seed, 1, row.chunk, *f"{row.g}".encode()])
+                # parts above the half are what the others leave
+                back = places.mean(0) > 0.6 * size
+                sums = np.empty_like(places)
+                if (~back).any():
+                    sums[:, ~back] = prefix_sums(rng, values, counts, places[:, ~back])
+                if back.any():
+                    sums[:, back] = int(values @ counts) - prefix_sums(rng, values, counts, size - places[:, back])
+                for i, (g, _) in enumerate(partners):
+                    a, b = sorted((row.g, g))
+                    yield pd.DataFrame({"a": [a], "b": [b], "chunk": [row.chunk], "sums": [sums[:, i]]})
 
     kind = dict(df.dtypes)[group]
-    done = work.mapInPandas(draw, f"a {kind}, b {kind}, difference double, extreme bigint, rounds bigint")
+    parts = work.mapInPandas(draw, f"a {kind}, b {kind}, chunk int, sums array<bigint>")
+    # the two parts of a pair's random group, added up round by round
+    either = parts.groupBy("a", "b", "chunk").agg(F.collect_list("sums").alias("s"))
+    first = F.zip_with(F.get("s", F.lit(0)), F.get("s", F.lit(1)), lambda x, y: x + y)
+    of = lambda name, p: whole.select(F.col("g").alias(name), *[F.col(c).alias(f"{p}_{c}") for c in ("size", "mean", "total")])
+    pairs = either.select("a", "b", first.alias("first")).join(F.broadcast(of("a", "a")), "a").join(F.broadcast(of("b", "b")), "b")
+    everything = F.col("a_total") + F.col("b_total")
+    observed = F.abs(F.col("a_mean") - F.col("b_mean"))
+    gap = lambda s: F.abs(s / F.col("a_size") - (everything - s) / F.col("b_size"))
+    extreme = F.size(F.filter("first", lambda s: gap(s) >= observed - 1e-9))
+    done = pairs.select("a", "b", (F.col("a_mean") - F.col("b_mean")).alias("difference"), extreme.alias("extreme"), F.size("first").alias("rounds"))
     return done.groupBy("a", "b").agg(
         F.first("difference").alias("difference"),
         ((F.sum("extreme") + 1) / (F.sum("rounds") + 1)).alias("p_value"),

@@ -1,6 +1,9 @@
 """Files, table maintenance and the streaming form."""
 
+import collections
 import datetime
+import itertools
+import math
 from types import SimpleNamespace
 
 import numpy as np
@@ -368,3 +371,33 @@ def test_first_new_row_of_a_key_is_inserted(spark, rows):
     target = spark.createDataFrame([(1, "x", 9)], "id int, name string, stamp int")
     new = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (2, "c", 3), (2, "d", 3), (3, None, None)], "id int, name string, stamp int")
     assert rows(k.inserted_if_absent(target, new, ["id"], ["stamp"])) == [(2, "c", 3), (3, None, None)]
+
+
+@pytest.mark.parametrize("rows_per_value", [0, 40])
+def test_prefix_sums_are_those_of_one_random_order(monkeypatch, rows_per_value):
+    """Every subset of a place's size is equally likely, and a smaller place's rows are among those of a larger one."""
+    monkeypatch.setattr(st, "ROWS_PER_VALUE", rows_per_value)
+    rng = np.random.default_rng(4)
+    values = 2 ** np.arange(6)  # a sum names its rows
+    places = np.tile([[2, 4, 3]], (30_000, 1))
+    got = st.prefix_sums(rng, values, np.ones(6, np.int64), places, cells=6000)
+    for column, place in enumerate((2, 4, 3)):
+        seen = collections.Counter(got[:, column].tolist())
+        assert all(bin(s).count("1") == place for s in seen) and len(seen) == math.comb(6, place)
+        even = len(got) / len(seen)
+        assert all(abs(n - even) < 5 * even**0.5 for n in seen.values())
+    assert (got[:, 0] & got[:, 2] == got[:, 0]).all() and (got[:, 2] & got[:, 1] == got[:, 2]).all()
+
+
+def test_permutation_of_uneven_groups(spark):
+    """Groups are shuffled once for all partners, however their sizes differ; p-values are those of all permutations."""
+    data = {"a": [1, 2, 9], "b": [4, 6, 7, 8, 11, 12], "c": [3]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v int")
+    got = {(r["a"], r["b"]): r for r in st.pairwise_permutation(df, "g", "v", rounds=20_000, seed=2, rounds_per_task=6000).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (a, b), r in got.items():
+        pool, n = data[a] + data[b], len(data[a])
+        gaps = [abs(sum(c) / n - (sum(pool) - sum(c)) / (len(pool) - n)) for c in itertools.combinations(pool, n)]
+        real = sum(data[a]) / n - sum(data[b]) / len(data[b])
+        exact = sum(g >= abs(real) - 1e-9 for g in gaps) / len(gaps)
+        assert r["rounds"] == 20_000 and r["difference"] == pytest.approx(real) and r["p_value"] == pytest.approx(exact, abs=0.02)
