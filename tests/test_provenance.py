@@ -74,3 +74,20 @@ def test_lifetimes_are_dealt_over_as_many_tasks_as_rows_need(spark, monkeypatch)
     got = rows(plans._cves(t))
     monkeypatch.setattr(plans, "ROWS_PER_TASK", 10**9)
     assert got == rows(plans._cves(t))
+
+
+def test_lifetimes_keep_their_tasks_below_the_session_number(spark, monkeypatch):
+    """Fewer tasks than the session's number are given too, or adaptive execution merges them into tasks of any number of rows."""
+    monkeypatch.setattr(plans, "ROWS_PER_TASK", 70)
+    day = datetime.date(2020, 1, 1)
+    lines = [(i % 40, i % 7, i % 3, 1 + i % 4, 3.0 + i % 9, 0.01 * (i % 5), "R" if i % 2 else "N", "F") for i in range(200)]
+    lineitem = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_linestatus string")
+    orders = spark.createDataFrame([(i, day, f"{i % 3}-P") for i in range(40)], "o_orderkey bigint, o_orderdate date, o_orderpriority string")
+    part = spark.createDataFrame([(i, f"Brand#{i}") for i in range(7)], "p_partkey bigint, p_brand string")
+    tables = {"lineitem": lineitem, "orders": orders, "part": part}
+    t = SimpleNamespace(spark=spark, v_lifetimes=spark.sql(VIEWS["v_lifetimes"], **tables), **tables)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 3
+    spread = plans._spread_lifetimes(t)
+    assert spread.rdd.getNumPartitions() == 3
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(spread) == rows(t.v_lifetimes)
