@@ -49,6 +49,7 @@ class _Pieces:
 
     def __init__(self, most: int):
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # of these, pieces that came again after they were learned
         self.most = most
 
     def describe(self, entries: list[bytes]) -> None:
@@ -58,10 +59,15 @@ class _Pieces:
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Beyond ``most`` pieces those that came again are kept, as most come once only; if these are half of them, none."""
         cut = [self.cut(t) for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        new = set().union(*[c for c in cut if c is not None]).difference(self.known)
+            kept = self.again if len(self.again) <= self.most // 2 else ()
+            self.known = {p: self.known[p] for p in kept}
+            self.again = set()
+        new = set().union(*[c for c in cut if c is not None])
+        self.again.update(new.intersection(self.known))
+        new.difference_update(self.known)
         if new:
             self.learn(list(new))
         get = self.known.__getitem__

@@ -36,6 +36,30 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in b.encode([" " + t for t in texts])] == b.model.encode(texts, num_threads=1)
 
 
+def test_pieces_that_come_again_are_learned_once():
+    """A full store of pieces lets go of those that came once, not of the common ones; ids stay those of the texts."""
+    from faultline.llm.tokenizing import _Pieces
+
+    class Letters(_Pieces):
+        def __init__(self, most):
+            super().__init__(most)
+            self.asked = []
+
+        def cut(self, text):
+            return text.split()
+
+        def learn(self, pieces):
+            self.asked += pieces
+            self.known.update({p: p.encode() for p in pieces})
+
+    model = Letters(10)
+    for i in range(20):
+        rare = [f"r{i}-{j}" for j in range(4)]
+        assert model.encode(["a b c " + " ".join(rare)]) == ["".join(["a", "b", "c", *rare]).encode()]
+        assert len(model.known) <= 10 + 7
+    assert [model.asked.count(p) for p in "abc"] == [1, 1, 1]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_simple8b_round_trip(seed):
     rng = np.random.default_rng(seed)
