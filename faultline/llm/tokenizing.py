@@ -14,6 +14,8 @@ import sys
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress, count, pairwise, repeat
+from operator import is_
 
 import numpy as np
 
@@ -27,6 +29,7 @@ _SENTENCE_PIECES = re.compile("\n[^ \n]*| +[^ \n]*")
 _BYTE_PIECE = re.compile("<0x[0-9A-F]{2}>")
 
 
+_SPACES = frozenset(" \t\n\r\x0b\x0c")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
@@ -49,7 +52,7 @@ class _Pieces:
 
     def __init__(self, most: int):
         self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # of these, pieces that came again after they were learned
+        self.before: dict[str, bytes] = {}  # the store that was full before this one
         self.most = most
 
     def describe(self, entries: list[bytes]) -> None:
@@ -59,19 +62,26 @@ class _Pieces:
         self.blob = np.frombuffer(b"".join(entries), np.uint8)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Beyond ``most`` pieces those that came again are kept, as most come once only; if these are half of them, none."""
+        """Two stores of half of ``most`` pieces each: a full one gives way to a new one, into which go the pieces that
+        come again, as most come once only."""
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > self.most:
-            kept = self.again if len(self.again) <= self.most // 2 else ()
-            self.known = {p: self.known[p] for p in kept}
-            self.again = set()
-        new = set().union(*[c for c in cut if c is not None])
-        self.again.update(new.intersection(self.known))
-        new.difference_update(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        if len(self.known) > self.most // 2:
+            self.before, self.known = self.known, {}
+        get = self.known.get
+        found = [None if c is None else list(map(get, c)) for c in cut]
+        gaps = [() if f is None else [*compress(count(), map(is_, f, repeat(None)))] for f in found]
+        if new := self.unknown(dict.fromkeys(c[i] for c, places in zip(cut, gaps) for i in places)):
+            self.learn(new)
+        for f, c, places in zip(found, cut, gaps):
+            for i in places:
+                f[i] = self.known[c[i]]
+        return [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
+
+    def unknown(self, pieces: Iterable[str]) -> list[str]:
+        """Of pieces that the store lacks, those that the one before lacks too; the others are taken over."""
+        again = {p: self.before[p] for p in pieces if p in self.before} if self.before else {}
+        self.known.update(again)
+        return [p for p in pieces if p not in again]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all ids, one after the other."""
@@ -105,24 +115,27 @@ class ByteLevel(_Pieces):
         """Marks behind a letter or digit are tokens of their own, so words with and without them are encoded once. Pieces
         that begin with white space and end without stand one after the other in one text for the library; the lengths
         of the tokens tell them apart."""
-        parts = {}
+        parts, wanted = {}, {}  # in order of text, as neighbours in memory are read faster
         for p in pieces:
-            core = p.rstrip(_MARKS)
-            if len(core) < len(p) and core[-1:] in _PLAIN:
-                parts[p] = core, p[len(core) :]
-        wanted = set(pieces).difference(parts).union(*parts.values()).difference(self.known)
-        chained = [p for p in wanted if p[0] in " \t\n\r\x0b\x0c" and p[-1] not in " \t\n\r\x0b\x0c"]
-        alone = wanted.difference(chained)
+            if p[-1] in _MARKS:
+                core = p.rstrip(_MARKS)
+                if core[-1:] in _PLAIN:
+                    marks = p[len(core) :]
+                    parts[p] = core, marks
+                    wanted[core] = wanted[marks] = None
+                    continue
+            wanted[p] = None
+        chained, alone = [], []
+        for p in self.unknown([p for p in wanted if p not in self.known]):
+            (chained if p[0] in _SPACES and p[-1] not in _SPACES else alone).append(p)
         joined = [chained[i : i + JOINED] for i in range(0, len(chained), JOINED)]
         for own, e in zip(joined, self.model.encode_batch_fast(["".join(x) for x in joined], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in own])
             cut = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right")).tolist()
-            data, i = ids.tobytes(), 0
-            for p, j in zip(own, cut):
-                self.known[p] = data[i:j]
-                i = j
-        for p, e in zip(alone, self.model.encode_batch_fast(list(alone), add_special_tokens=False)):
+            data = ids.tobytes()
+            self.known.update(zip(own, [data[i:j] for i, j in pairwise([0, *cut])]))
+        for p, e in zip(alone, self.model.encode_batch_fast(alone, add_special_tokens=False)):
             self.known[p] = _packed(e.ids)
         for p, (core, marks) in parts.items():
             self.known[p] = self.known[core] + self.known[marks]

@@ -60,6 +60,34 @@ def test_pieces_that_come_again_are_learned_once():
     assert [model.asked.count(p) for p in "abc"] == [1, 1, 1]
 
 
+def test_pieces_that_come_again_stay_also_if_they_are_most():
+    """Pieces of which more than half come again in every chunk are learned once, however often the store is full."""
+    from faultline.llm.tokenizing import _Pieces
+
+    class Letters(_Pieces):
+        asked = []
+
+        def cut(self, text):
+            return text.split()
+
+        def learn(self, pieces):
+            self.asked += pieces
+            self.known.update({p: p.encode() for p in pieces})
+
+    model = Letters(10)
+    for i in range(20):
+        assert model.encode([f"a b c d e f g h r{i} a", "b"]) == [f"abcdefghr{i}a".encode(), b"b"]
+        assert len(model.known) + len(model.before) <= 10 + 10
+    assert [model.asked.count(p) for p in "abcdefgh"] == [1] * 8
+
+
+def test_words_and_marks_behind_them_outlive_a_full_store():
+    model, small = byte_level(A), type(byte_level(A))(A, 6)
+    for i in range(30):
+        text = [f"one two, three... four{i}, (five) one, two... {i}, café, é!", f"\n two,, x{i % 3}"]
+        assert small.encode(text) == model.encode(text)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_simple8b_round_trip(seed):
     rng = np.random.default_rng(seed)
