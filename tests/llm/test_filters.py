@@ -286,3 +286,33 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     at = [rel.columns.index(c) for c in df.columns]
     same = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert same(df.collect()) == same([tuple(r[i] for i in at) for r in rel.fetchall()])
+
+
+def test_texts_are_scored_within_their_records(spark):
+    """A text of a record is not sent a second time; other types, and names in other case, go as a column of their own."""
+    net = quality.train(np.random.default_rng(1).normal(size=(200, 2 * quality.WIDTH + 1)), np.arange(200) % 2)
+    model = quality.QualityModel(np.random.default_rng(2).normal(size=(quality.VOCABULARY, quality.WIDTH)).astype(np.float32), net)
+    data = [(i, None if i % 7 == 0 else f"Word{i} and é{i}!! " * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(data, "id long, text string").repartition(3)
+    got = {r.rec.id: (r.rec.text, r.score) for r in model.score(docs).collect()}
+    apart = {r.rec.id: (r.rec.text, r.score) for r in model.score(docs.withColumn("TEXT2", F.col("text")), "text2").collect()}
+    assert got == apart and {i: t for i, (t, _) in got.items()} == dict(data)
+    assert len(model.score(docs.select("id", F.encode("text", "utf-8").alias("text"))).collect()) == 60
+    assert model.score(docs)._jdf.queryExecution().analyzed().children().head().output().size() == 1
+
+
+def test_scoring_takes_little_memory_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    net = quality.train(np.zeros((0, 1)), np.zeros(0))
+    net.mean, net.scale, net.w1 = np.zeros(65), np.ones(65), np.zeros((65, 1))
+    rec = pa.StructArray.from_arrays([pa.array(range(2000)), pa.array(["some words in a text " * 100] * 2000)], ["id", "text"])
+    tracemalloc.start()
+    try:
+        batches = iter([pa.RecordBatch.from_arrays([rec], ["rec"])])
+        out = sum(b.num_rows for b in quality._scored(np.ones((quality.VOCABULARY, quality.WIDTH), np.float32), net, 1)(batches))
+        assert out == 2000 and tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
