@@ -91,3 +91,35 @@ def test_lifetimes_keep_their_tasks_below_the_session_number(spark, monkeypatch)
     assert spread.rdd.getNumPartitions() == 3
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(spread) == rows(t.v_lifetimes)
+
+
+def test_taken_apart_files_keep_their_tasks(spark, sf_dir, monkeypatch):
+    """Adaptive execution does not merge them by what they take before their lines are made."""
+    from faultline.plans import provenance as plan
+    from faultline.plans.registry import Inputs
+
+    monkeypatch.setattr(plan, "FILES_PER_TASK", 100)
+    lines, _ = plan._versions(Inputs(spark, sf_dir))
+    files = lines.filter("version = 0 AND line_no = 1").count()
+    assert files > 400 and lines.rdd.getNumPartitions() == -(-files // 100)
+
+
+def test_noise_in_blocks_is_noise_by_line(spark):
+    """Comments over block ends, repeated lines and lines without text; noise does not meet candidates line by line."""
+    from faultline.operators import diff as d
+
+    hunks, _ = _hunks_and_blame(spark)
+    code = {60: "a /* opens", 66: "closes */", 4: "", 5: "// note", 131: "int f(int a) {"}
+    rows = [(1, v, "a.c", n, code.get(n + v, "x = g(1);")) for v in range(3) for n in range(1, 140)] + [(1, 0, "a.c", 70, None), (2, 1, "b.c", 1, "")]
+    lines = spark.createDataFrame(rows + rows[:1], "commit_id bigint, version int, path string, line_no int, code string")
+    hunks = p._code_hunks(hunks)
+    got = p._without_noise(hunks, lines)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    masked = d.comment_mask(lines, ["commit_id", "version", "path"], "line_no", "code").filter("masked").collect()
+    noise = {(r.commit_id, r.version, r.path, r.line_no) for r in masked}
+    assert (1, 1, "a.c", 64) in noise and (1, 2, "a.c", 63) in noise
+    every = p._deleted(hunks).unionByName(p._around_additions(hunks)).select("hunk_id", *p._SPOT).collect()
+    kept = sorted(map(str, (tuple(r) for r in got.select("hunk_id", *p._SPOT).collect())))
+    want = [tuple(r) for r in every if tuple(r[1:3]) + tuple(r[3:]) not in noise and (r.version != 0 or r.hunk_id == 1)]
+    assert any(tuple(r[1:]) in noise for r in every) and set(kept) <= set(map(str, map(tuple, every)))
+    assert sorted(k for k in kept if ", 0, " not in k) == sorted(str(w) for w in want if w[2] != 0)
